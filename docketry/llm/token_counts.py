@@ -20,7 +20,15 @@ PRE_TOKEN = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
 def pre_tokens(text: str) -> list[str]:
-    return PRE_TOKEN.findall(MARK + text.replace(" ", MARK)) if text else []
+    """Pieces whose lengths add up to the text's: its words where single spaces part them, else marked pieces.
+
+    A marked piece has two spaces before it, and gets no mark from the library.
+    """
+    if not text:
+        return []
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return ["  " + p for p in PRE_TOKEN.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 @lru_cache(1)
@@ -29,16 +37,27 @@ def processor(model: str) -> sentencepiece.SentencePieceProcessor:
 
 
 class Lengths(dict):
-    """Tier two: a worker's cache of the lengths that the library gave, emptied when full."""
+    """Tier two: a worker's cache of the lengths that the library gave, over tier one, the known lengths.
+
+    A full cache becomes the older generation, from which pieces in use come back.
+    """
 
     def __init__(self, model: str, known: dict[str, int], room: int):
         super().__init__(known)
-        self.model, self.known, self.room = processor(model), known, len(known) + room
+        self.model, self.known, self.room, self.older = processor(model), known, len(known) + room, {}
 
     def __missing__(self, piece: str) -> int:
-        # A line feed before the piece takes the place of the mark that the library would put there.
-        n = len(self.model.encode("\n" + piece)) - 2
+        n = self.older.get(piece)
+        if n is None:
+            if piece.startswith("  "):  # behind a line feed, which gets the mark in its place
+                n = len(self.model.encode("\n" + piece[2:])) - 2
+            elif "\n" in piece:
+                first, *rest = piece.split("\n")
+                n = (self[first] if first else 1) + len(rest) + sum(self["  " + p] for p in rest if p)
+            else:
+                n = len(self.model.encode(piece))
         if len(self) >= self.room:
+            self.older = dict(self)
             self.clear()
             self.update(self.known)
         self[piece] = n

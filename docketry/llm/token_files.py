@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,10 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoded(dict):
     """A worker's cache: word -> bytes of its ids, words being what stands between ASCII white space.
 
@@ -43,10 +48,12 @@ class Encoded(dict):
         found = self.older.get(word)
         if found is None:
             text = word.decode("utf-8")
-            if _simple(text):
+            if word.isalpha():  # ASCII letters only
+                found = self.parts.get(low := text.lower()) or self.part(low)
+            elif _simple(text):
                 found = b"".join([self.parts.get(p) or self.part(p) for p in PRE_TOKEN.findall(text.lower())])
             else:
-                found = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                found = packed(self.library.encode(text, add_special_tokens=False).ids)
         if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
@@ -56,8 +63,8 @@ class Encoded(dict):
     def part(self, piece: str) -> bytes:
         if len(self.parts) >= self.room:
             self.parts.clear()
-        ids = [t.id for t in self.library.model.tokenize(self.to_units(piece)[0][0])]
-        found = self.parts[piece] = np.array(ids, "<u4").tobytes()
+        units = piece if piece.isascii() and piece.isprintable() else self.to_units(piece)[0][0]
+        found = self.parts[piece] = packed([t.id for t in self.library.model.tokenize(units)])
         return found
 
     def encode(self, text: str) -> bytes:
@@ -85,7 +92,7 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, at = Encoded(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
+        cache, end, at = Encoded(tokenizer_path), packed([end_id]), 0
         for batch in batches:
             encoded = [cache.encode(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in encoded], np.int64)
@@ -108,11 +115,11 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The rows of write_token_files with `start`, the number of ids in all rows before."""
     rows = spark.read.parquet(path)
-    # One row for each part, from the metadata columns alone.
+    # One row for each file, from the metadata columns alone: as many as the job that wrote them had tasks.
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(bases, "part").select("doc", (F.col("_base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc", (F.col("_base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def digest(rows: DataFrame) -> DataFrame:

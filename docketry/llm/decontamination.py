@@ -42,9 +42,12 @@ def fingerprints(rows: DataFrame, window: int, k: int, short: list[int]) -> Data
 
 
 def _exploded(rows: DataFrame, *more: Column) -> DataFrame:
-    """A row for each fingerprint: `h` and its position `p`."""
+    """A row for each fingerprint: `h` and its position `p`; nulls where there is none.
+
+    (A plain explode would have its input evaluated once more, in a filter for empty arrays.)
+    """
     mask = (1 << POSITION_BITS) - 1
-    return rows.withColumn("_f", F.explode(F.concat("fp", *more) if more else F.col("fp"))).withColumns({
+    return rows.withColumn("_f", F.explode_outer(F.concat("fp", *more) if more else F.col("fp"))).withColumns({
         "h": F.shiftright("_f", POSITION_BITS), "p": F.col("_f").bitwiseAND(F.lit(mask)).cast("int"),
     }).drop("_f", "fp")
 
@@ -75,7 +78,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for side in sides[1:]:
         known = known.unionByName(side)
     # Items that share a passage share a row, so what many items repeat is extended once.
-    known = small(known.groupBy("h", "k", "r", "c").agg(F.collect_set("item").alias("items")).withColumnRenamed("h", "_h"))
+    known = small(known.where(F.col("h").isNotNull()).groupBy("h", "k", "r", "c").agg(F.collect_set("item").alias("items")).withColumnRenamed("h", "_h"))
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), item_words(F.col(text_col)).alias("w"))
     # A negative fingerprint stands for the row itself.
@@ -90,9 +93,8 @@ def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     # Where no more than k words are asked for, the gram is the window.
     whole = core & (left + right + F.col("k") >= F.when(F.col("r") > 0, window).otherwise(F.col("k")))
     found = extended.select("id", "t", "n", "h", "items", F.when((F.col("h") >= 0) & whole, F.struct((F.col("p") - left).alias("lo"), (F.col("p") + F.col("k") + right).alias("hi"))).alias("span"))
-    found = found.where((F.col("h") < 0) | F.col("span").isNotNull())
     summed = found.groupBy("id", "t").agg(
-        F.max("n").alias("n_words"), F.count_if(F.col("h") < 0).alias("copies"), F.array_sort(F.collect_set("span")).alias("raw"), F.collect_set("items").alias("sets")
+        F.max("n").alias("n_words"), F.count_if(F.col("h") < 0).alias("copies"), F.array_sort(F.collect_set("span")).alias("raw"), F.collect_set(F.when(F.col("span").isNotNull(), F.col("items"))).alias("sets")
     )
     merged = F.aggregate(
         "raw", F.array().cast("array<struct<lo:int,hi:int>>"),

@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, decontamination, mixing, sharding, token_counts, token_files
+from docketry.llm import chat, decontamination, mixing, near_dedup, sharding, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": decontamination.op1_winnowing,
+        "op2_odd_sketch_dedup": near_dedup.op2_odd_sketch_dedup,
         "op3_entropy_mix": mixing.op3_entropy_mix,
         "op4_token_counts": token_counts.op4_token_counts,
         "op7_token_files": token_files.op7_token_files,

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, decontamination, mixing, near_dedup, quality, sharding, token_counts, token_files
+from docketry.llm import chat, decontamination, mixing, near_dedup, quality, secrets, sharding, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_robust_outliers": quality.op5_robust_outliers,
         "op7_token_files": token_files.op7_token_files,
+        "op9_crf_secrets": secrets.op9_crf_secrets,
         "op10_chat_format": chat.op10_chat_format,
         "op8_jump_shards": sharding.op8_jump_shards,
     }

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, decontamination, mixing, near_dedup, quality, secrets, sharding, token_counts, token_files
+from docketry.llm import chat, decontamination, html_text, mixing, near_dedup, quality, secrets, sharding, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_entropy_mix": mixing.op3_entropy_mix,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_robust_outliers": quality.op5_robust_outliers,
+        "op6_page_differencing": html_text.op6_page_differencing,
         "op7_token_files": token_files.op7_token_files,
         "op9_crf_secrets": secrets.op9_crf_secrets,
         "op10_chat_format": chat.op10_chat_format,

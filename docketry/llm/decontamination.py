@@ -53,7 +53,7 @@ def _exploded(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5) -> DataFrame:
-    """One row per input row: id, n_words, spans, items.
+    """One row per input row: id, text_hash, n_words, spans, items.
 
     `spans` are the word ranges [lo, hi) of the document that are in occurrences of an item's windows
     (`window` words in a row, or the whole of a shorter item), as an array of disjoint structs; `items` the ids of those
@@ -102,7 +102,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["lo"].alias("lo"), F.greatest(F.element_at(done, -1)["hi"], s["hi"]).alias("hi"))))
         ).otherwise(F.concat(done, F.array(s))),
     )
-    rows = summed.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"), "copies")
+    rows = summed.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"), "copies")
     return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_", "copies")
 
 

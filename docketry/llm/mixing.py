@@ -70,8 +70,8 @@ def tilt(groups: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1
     return dual.select("source", "tilt")
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", prior: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """One row per input row: id, size, source_size, target, rate, copies, taken (copies * size).
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", prior: Column | None = None, tag: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """One row per input row: id, tag (if given), size, source_size, target, rate, copies, taken (copies * size).
 
     Rates are the entropy-balancing ones of `tilt`; they are rounded to whole copies in blocks of a
     source, from the largest document to the smallest, each document making good what those before it
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     ids may be null or repeat (equal rows are interchangeable); other columns are ignored; an empty table
     gives an empty result. The same rows give the same result in any order.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(1.0) if prior is None else prior.cast("double")).alias("prior"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(1.0) if prior is None else prior.cast("double")).alias("prior"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
     rows = cut(rows)
     groups = rows.groupBy("source", "prior").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     sizes = groups.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("rows"))
@@ -89,22 +89,22 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     blocks = sizes.select(F.col("source").alias("_b"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     known = targets.join(blocks, F.equal_null("source", "_b")).drop("_b").join(duals.select(F.col("source").alias("_s"), "tilt"), F.equal_null("source", "_s")).drop("_s").withColumnRenamed("source", "_source")
     rated = rows.join(small(cut(known)), F.equal_null(F.col("source"), F.col("_source"))).withColumn("rate", F.least(F.col("prior") * F.exp("tilt"), F.lit(float(cap))))
-    block = F.pmod(F.xxhash64("id", "size"), F.col("blocks")).cast("long")
+    block = F.pmod(F.xxhash64("id", "tag"), F.col("blocks")).cast("long")
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "h", "id"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["size", "h", "id", "tag"], ascending=[False, True, True, True], kind="stable")
         copies, owed = np.ones(len(group), np.int64), 0.0
         for i, (n, rate) in enumerate(zip(group["size"].to_numpy(), group["rate"].to_numpy(), strict=True)):
             if n:
                 owed += n * rate
                 copies[i] = min(cap, max(0, round(owed / n)))
                 owed -= n * copies[i]
-        return group.assign(copies=copies)[["id", "size", "source_size", "target", "rate", "copies"]]
+        return group.assign(copies=copies)[["id", "tag", "size", "source_size", "target", "rate", "copies"]]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = rated.select("source", block.alias("block"), "id", "size", F.xxhash64("id").alias("h"), "source_size", "target", "rate")
-    out = placed.groupBy("source", "block").applyInPandas(rounded, f"id {kind}, size long, source_size long, target double, rate double, copies long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    placed = rated.select("source", block.alias("block"), "id", "tag", "size", F.xxhash64("id").alias("h"), "source_size", "target", "rate")
+    out = placed.groupBy("source", "block").applyInPandas(rounded, f"id {kind}, tag long, size long, source_size long, target double, rate double, copies long")
+    return out.select(F.col("id").alias(id_col), *([] if tag is None else ["tag"]), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ MOST_BITS = int(np.searchsorted(-similarity(np.arange(SKETCH_BITS // 2)), -SIFT,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, set (16 bytes standing for the whole set), bands, sketch for each row of (id, text)."""
+    """id, t, n_shingles, set (16 bytes standing for the whole set), bands, sketch for each row of (id, text, t)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -113,12 +113,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(keys.view(np.int64))
                 sketch.append(odd_sketch(least).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["id", "n_shingles", "set", "bands", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["id", "t", "n_shingles", "set", "bands", "sketch"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(compute, f"id {kind}, n_shingles long, set binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(compute, f"id {kind}, t long, n_shingles long, set binary, bands array<long>, sketch binary")
 
 
 def _pairs(group: pd.DataFrame, best: bool) -> pd.DataFrame:
@@ -220,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per input row: id (a bigint), n_shingles, component_id, kept (id = component_id).
+    """One row per input row: id (a bigint), text_hash, n_shingles, component_id, kept (id = component_id).
 
     Rows are linked when their sets of 5-word shingles (ASCII lower case; a shorter text is one shingle)
     have a similarity of `percent` or more; component_id is the smallest id reachable over links. A null
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes every pair that is left between classes.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     known = cut(sketches(rows))
     sets = known.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = cut(sets)
@@ -267,10 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = named.join(classes, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("comp", "rep").alias("component"))
     else:
         named = named.withColumnRenamed("rep", "component")
-    out = known.select("id", "n_shingles", "set").join(named, "set", "left")
+    out = known.select("id", "t", "n_shingles", "set").join(named, "set", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -3,7 +3,6 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,47 +32,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SALTS = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SALTS = (_mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACES = _mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
-class WordHashes(dict):
-    """A worker's cache of word hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_IN_WORD = _mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's 5-word shingles (of the whole sequence if it is shorter)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
-    if not words:
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word between ASCII white space: its bytes weighed by their places, summed and mixed."""
+    b = np.frombuffer(text, np.uint8)
+    inside = (b != 32) & ((b < 9) | (b > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    b, inside = b[starts[0] :], inside[starts[0] :]
+    starts -= starts[0]
+    place = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    longest = int((place * inside).max())
+    weights = _IN_WORD if longest < len(_IN_WORD) else _mix(np.arange(1, longest + 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    value = b.astype(np.uint64) + inside
+    value *= weights[place * inside]
+    value *= inside
+    return _mix(np.add.reduceat(value, starts))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's 5-word shingles (of the whole sequence if it is shorter)."""
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # ASCII letters only
+    if not len(h):
+        return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     sums = np.full(n, np.uint64(k))
     for j in range(k):
-        sums = _mix(sums + h[j : j + n] * _PLACES[j])
-    return np.unique(sums)
+        sums += h[j : j + n] * _PLACES[j]
+    return np.unique(_mix(sums))
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """SAMPLES MinHash values of a non-empty set."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 512):
-        part = items[at : at + 512, None] * _SALTS[None, :]
-        part ^= part >> np.uint64(29)
-        np.minimum(least, part.min(axis=0), out=least)
-    return least
+    """SAMPLES MinHash values of a non-empty set: the least products with each salt, in 32 bits."""
+    items = (items >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(items), 1024):
+        np.minimum(least, (items[None, at : at + 1024] * _SALTS[:, None]).min(axis=1), out=least)
+    return least.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity of the number of samples at each of SKETCH_BITS places, as 64-bit words."""
-    places = (_mix(samples + _SALTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    places = (_mix(samples + (_SALTS.astype(np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)
     parity = (np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view(np.uint64)
 
@@ -95,11 +105,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     """id, t, n_shingles, set (16 bytes standing for the whole set), bands, sketch for each row of (id, text, t)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             sizes, sets, bands, sketch = [], [], [], []
             for text in batch.column(1).to_pylist():
-                items = shingle_set(text, hashes)
+                items = shingle_set(text)
                 sizes.append(len(items))
                 if not len(items):
                     sets.append(None), bands.append(None), sketch.append(None)
@@ -121,41 +130,79 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compute, f"id {kind}, t long, n_shingles long, set binary, bands array<long>, sketch binary")
 
 
-def _pairs(group: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """Pairs (a < b) of a bucket's rows in different classes whose sketches are alike.
+class Members:
+    """Rows of buckets, those of a group (bucket, lo, hi) next to each other, and pairs among them.
 
-    Rows of one block are compared with each other, rows of two blocks across. With `best` each row
-    gives its most similar partner only.
+    A pair is of one group, of two classes, of both blocks where a group has two, and has sketches alike.
+    With `best`, each row gives its most similar partner in its group only.
     """
-    lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-    sides = [group[group["block"] == b] for b in ((lo,) if lo == hi else (lo, hi))]
-    (a, b) = (sides[0], sides[-1])
-    ids_a, ids_b, class_a, class_b = a["rep"].to_numpy(), b["rep"].to_numpy(), a["comp"].to_numpy(), b["comp"].to_numpy()
-    bits_a, bits_b = (np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1) for x in (a, b))
-    left, right = [], []
-    other = np.full(len(b), SKETCH_BITS, np.int64), np.zeros(len(b), np.int64)
-    for at in range(0, len(a), 256):
-        part = slice(at, at + 256)
-        differ = np.zeros((len(bits_a[part]), len(b)), np.int64)
-        for w in range(bits_a.shape[1]):
-            differ += np.bitwise_count(bits_a[part, w, None] ^ bits_b[None, :, w])
-        differ[class_a[part, None] == class_b[None, :]] = SKETCH_BITS
-        if best:
-            nearest = differ.argmin(axis=1)
-            rows = np.flatnonzero(differ[np.arange(len(differ)), nearest] <= MOST_BITS)
-            left.append(ids_a[part][rows]), right.append(ids_b[nearest[rows]])
-            if lo != hi:
-                column, least = differ.argmin(axis=0), differ.min(axis=0)
-                closer = least < other[0]
-                other[0][closer], other[1][closer] = least[closer], column[closer] + at
-        else:
-            i, j = np.nonzero(differ <= MOST_BITS)
-            left.append(ids_a[part][i]), right.append(ids_b[j])
-    if best and lo != hi:
-        rows = np.flatnonzero(other[0] <= MOST_BITS)
-        left.append(ids_a[other[1][rows]]), right.append(ids_b[rows])
-    x, y = np.concatenate(left), np.concatenate(right)
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    def __init__(self, batches: list[pa.RecordBatch], best: bool):
+        table = pa.Table.from_batches(batches)
+        self.group = np.stack([table.column(c).to_numpy() for c in ("bucket", "lo", "hi")], axis=1)
+        self.block, self.rep, self.comp = (table.column(c).to_numpy() for c in ("block", "rep", "comp"))
+        self.bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1)
+        self.best = best
+        self.starts = np.concatenate([[0], np.flatnonzero((self.group[1:] != self.group[:-1]).any(axis=1)) + 1, [len(table)]])
+
+    def pairs(self) -> pa.RecordBatch:
+        sizes = np.diff(self.starts)
+        found = [self.few(sizes)] + [self.many(a, a + n) for a, n in zip(self.starts[:-1], sizes, strict=True) if n > 32]
+        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def few(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all groups of up to 32 rows at once: rows one apart, two apart and so on."""
+        ends = np.repeat(np.where(sizes <= 32, self.starts[1:], 0), sizes)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        nearest, partner = np.full(len(ends), MOST_BITS + 1), np.full(len(ends), -1)
+        rows = np.arange(len(ends))
+        for apart in range(1, 32):
+            i = rows[rows + apart < ends]
+            if not len(i):
+                break
+            j = i + apart
+            fit = (self.comp[i] != self.comp[j]) & ((self.group[i, 1] == self.group[i, 2]) | (self.block[i] != self.block[j]))
+            i, j = i[fit], j[fit]
+            differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1)
+            if self.best:
+                for x, y in ((i, j), (j, i)):
+                    closer = differ < nearest[x]
+                    nearest[x[closer]], partner[x[closer]] = differ[closer], y[closer]
+            else:
+                near = differ <= MOST_BITS
+                left.append(self.rep[i[near]]), right.append(self.rep[j[near]])
+        if self.best:
+            left, right = [self.rep[partner >= 0]], [self.rep[partner[partner >= 0]]]
+        return np.concatenate(left), np.concatenate(right)
+
+    def many(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of one larger group: all rows against all, or the first block against the second, 256 at a time."""
+        _, lo, hi = self.group[start]
+        rows = np.arange(start, end)
+        one, other = (rows, rows) if lo == hi else (rows[self.block[rows] == lo], rows[self.block[rows] == hi])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        nearest, partner = np.full(len(other), MOST_BITS + 1), np.full(len(other), -1)
+        for at in range(0, len(one), 256):
+            part = one[at : at + 256]
+            differ = np.zeros((len(part), len(other)), np.int16)
+            for w in range(self.bits.shape[1]):
+                differ += np.bitwise_count(self.bits[part, w, None] ^ self.bits[None, other, w])
+            differ[self.comp[part, None] == self.comp[None, other]] = SKETCH_BITS
+            if not self.best:
+                i, j = np.nonzero(differ <= MOST_BITS)
+                left.append(self.rep[part[i]]), right.append(self.rep[other[j]])
+            elif len(other):
+                column = differ.argmin(axis=1)
+                near = differ[np.arange(len(part)), column] <= MOST_BITS
+                left.append(self.rep[part[near]]), right.append(self.rep[other[column[near]]])
+                row = differ.argmin(axis=0)
+                closer = differ[row, np.arange(len(other))] < nearest
+                nearest[closer], partner[closer] = differ[row[closer], np.flatnonzero(closer)], part[row[closer]]
+        if self.best and lo != hi:
+            left.append(self.rep[other[partner >= 0]]), right.append(self.rep[partner[partner >= 0]])
+        return np.concatenate(left), np.concatenate(right)
 
 
 def candidates(members: DataFrame, best: bool) -> DataFrame:
@@ -167,26 +214,39 @@ def candidates(members: DataFrame, best: bool) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where(F.col("_lo") < F.col("_hi")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "rep", "comp", "sketch")
+    grouped = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        return _pairs(group, best)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(len(b) for b in held) < 20_000:
+                continue
+            members = Members(held, best)
+            if (last := int(members.starts[-2])) == 0:
+                continue  # one group that goes on
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield Members([whole.slice(0, last)], best).pairs()
+            held = [whole.slice(last)]
+        if held:
+            yield Members(held, best).pairs()
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(find, "a long, b long").distinct()
+    return grouped.mapInArrow(find, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, kept = WordHashes(), None, None
+        last, kept = None, None
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             good = []
             # The join leaves pairs sorted by b, so its set is made once for all of its partners.
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, other = shingle_set(x.as_py(), hashes), y.as_py()
+                one, other = shingle_set(x.as_py()), y.as_py()
                 if other != last:
-                    last, kept = other, shingle_set(other, hashes)
+                    last, kept = other, shingle_set(other)
                 common = len(np.intersect1d(one, kept, assume_unique=True))
                 good.append(100 * common >= percent * (len(one) + len(kept) - common))
             mask = pa.array(good, pa.bool_())

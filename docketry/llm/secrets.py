@@ -206,15 +206,25 @@ def made_up(n: int = 1500) -> list[Example]:
     return found
 
 
+def _mixed(feats: list[str]) -> bool:
+    """Whether the features are of a token with both letters and digits."""
+    return any(re.fullmatch("kinds=1(1.|.1).", f) for f in feats)
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """A model of the made-up lines and of windows of at most SAMPLE_DOCS documents, labelled by the base patterns."""
+    """A model of the made-up lines and of windows of at most SAMPLE_DOCS documents, labelled by the base patterns.
+
+    Of the windows, chains in base spans are secrets, and chains without letters and digits mixed are none; what
+    the base patterns leave open has no label.
+    """
     ids = docs.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     texts = docs.join(F.broadcast(ids), F.equal_null(docs[id_col], "_id"), "left_semi").select(F.col(text_col).alias("text"))
     windows = texts.select(F.explode(F.regexp_extract_all("text", F.lit(rf"([^\n]{{0,80}}[0-9][^\n]{{0,{WINDOW - 81}}})"), F.lit(1))).alias("window"))
     kept = windows.distinct().orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS)
     examples = made_up()
     for row in kept.collect():
-        examples += labelled(row.window, [(s, e) for s, _, e in base_spans(row.window)])
+        found = labelled(row.window, [(s, e) for s, _, e in base_spans(row.window)])
+        examples += [(feats, tags) for feats, tags in found if any(tags) or not any(map(_mixed, feats))]
     weights, moves = train(examples)
     return {f: w.round(4) for f, w in weights.items()}, moves
 

@@ -34,10 +34,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same rows with their lineage cut, kept in the shared folder, in at most `parts` files.
+
+    parts is 1 for tables of a row per group, and cores() for sums over what was shuffled to many small partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if parts is None else df.coalesce(parts)).checkpoint()
+
+
+def cores(spark: SparkSession) -> int:
+    """Tasks that can run at once: it grows with the cluster."""
+    return spark.sparkContext.defaultParallelism
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -50,7 +50,7 @@ def tilt(groups: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1
     sum(rate * size) = target are prior * exp(tilt of the source), at most cap. A constraint concerns the
     rows of one source, so the Hessian is diagonal and a step is one sum per source.
     """
-    groups, dual = cut(groups), targets.select("source", "target", F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"))
+    groups, dual = cut(groups, 1), targets.select("source", "target", F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"))
     for _ in range(steps):
         raw = F.col("prior") * F.exp(F.col("tilt"))
         inside = F.when(raw < cap, raw * F.col("size")).otherwise(0.0)
@@ -62,7 +62,7 @@ def tilt(groups: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1
         off = F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))
         new = F.when(off <= tolerance, F.col("tilt")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
         moved = sums.select("source", "target", new.alias("tilt"), lo.alias("lo"), hi.alias("hi"), off.alias("_off"))
-        moved = cut(moved)
+        moved = cut(moved, 1)
         off = moved.agg(F.max("_off")).first()[0]
         dual = moved.drop("_off")
         if off is None or off <= tolerance:
@@ -84,11 +84,11 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     rows = cut(rows)
     groups = rows.groupBy("source", "prior").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     sizes = groups.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("rows"))
-    targets = cut(water_targets(sizes.select("source", "source_size"), weights, share, cap))
+    targets = cut(water_targets(sizes.select("source", "source_size"), weights, share, cap), 1)
     duals = tilt(groups.drop("rows"), targets, float(cap))
     blocks = sizes.select(F.col("source").alias("_b"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     known = targets.join(blocks, F.equal_null("source", "_b")).drop("_b").join(duals.select(F.col("source").alias("_s"), "tilt"), F.equal_null("source", "_s")).drop("_s").withColumnRenamed("source", "_source")
-    rated = rows.join(small(cut(known)), F.equal_null(F.col("source"), F.col("_source"))).withColumn("rate", F.least(F.col("prior") * F.exp("tilt"), F.lit(float(cap))))
+    rated = rows.join(small(cut(known, 1)), F.equal_null(F.col("source"), F.col("_source"))).withColumn("rate", F.least(F.col("prior") * F.exp("tilt"), F.lit(float(cap))))
     block = F.pmod(F.xxhash64("id", "tag"), F.col("blocks")).cast("long")
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:

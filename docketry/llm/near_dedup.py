@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, scratch, table
+from docketry.llm.common import cores, cut, scratch, table
 
 SHINGLE = 5
 #: BANDS * ROWS MinHash samples. Two sets of similarity s share a band with probability
@@ -262,7 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node ties its larger neighbours to the smallest node
     it knows, then its smaller ones. Paths shorten by at least half a round; all sums are per node, and joins split hot nodes.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    tasks = cores(edges.sparkSession)
+    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tasks)
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -270,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), tasks)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -294,15 +295,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes every pair that is left between classes.
     """
     spark = docs.sparkSession
+    tasks = cores(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     known = cut(sketches(rows))
     sets = known.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = cut(sets)
+    sets = cut(sets, tasks)
     banded = sets.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = cut(banded.join(shared, "bucket"))
+    buckets = cut(banded.join(shared, "bucket"), tasks)
     path = scratch(spark, "texts")
-    rows.join(buckets.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep", "text"]).write.parquet(path)
+    rows.join(buckets.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep", "text"]).coalesce(2 * tasks).write.parquet(path)
     texts = spark.read.parquet(path)
 
     links, tried, classes = None, None, None
@@ -313,13 +315,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             named = named.join(classes, F.col("rep") == F.col("node"), "left").select("rep", "sketch", F.coalesce("comp", "rep").alias("comp"))
         found = candidates(buckets.join(named, "rep"), best)
-        found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+        found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), tasks)
         if found.isEmpty():
             if best:
                 continue
             break
         new = confirmed(found, texts, percent)
-        links = cut(new if links is None else new.union(classes.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        links = cut(new if links is None else new.union(classes.select(F.col("node").alias("a"), F.col("comp").alias("b"))), tasks)
         tried = found if tried is None else tried.union(found)
         classes = components(links)
     named = sets.select("set", "rep")

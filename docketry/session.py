@@ -1,5 +1,7 @@
 """The session that tests, the benchmark and ad-hoc use share."""
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -13,7 +15,7 @@ def session(app: str = "docketry", cpus: int | str = "*", partitions: int = 8) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if SparkSession.getActiveSession() is None:
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and SparkSession.getActiveSession() is None:  # not under spark-submit
         builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

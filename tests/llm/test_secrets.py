@@ -64,6 +64,31 @@ def test_finds_what_the_base_rules_miss(spark):
     assert got[2] == [] and got[3] == []
 
 
+def test_finds_letters_signs_and_short_ones(spark):
+    texts = {
+        "pwd: CorrectHorseStaple": "CorrectHorseStaple", "passphrase is qWeRtYuIoPaSdF": "qWeRtYuIoPaSdF", "auth: P@ss!w0rd#9x": "P@ss!w0rd#9x", "and the passphrase is 'Grün$piegel7', no more": "Grün$piegel7", "pwd = hUnt!r2": "hUnt!r2",
+        "the passphrase is required, see CorrectHorseHandler": None, "mail to a.b@c.example.com & pay $9.50 for 你好世界": None,
+    }
+    got = {x.doc_id: x.spans for x in X.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, secret) in enumerate(texts.items()):
+        assert [text[s.start : s.end] for s in got[i]] == [secret] * (secret is not None), text
+
+
+def test_tagger_is_viterbi_over_all_tokens():
+    r = np.random.default_rng(5)
+    texts = ["pwd=a1!b2 'x-y' (AB12) Word, wOrd\n\n12:30 é你 \"q\"", "auth: x y: z [a.b] k:=v==", "a"]
+    weights = {f: r.normal(size=3) for t in texts for fs in X.features(t, X.segments(t), X.file_features(t)) for f in fs}
+    for _ in range(20):
+        moves = r.normal(size=(3, 3))
+        moves[X.OUTSIDE, X.INSIDE] = X.NEVER
+        for t in texts:
+            chain = X.segments(t)
+            tags = X.viterbi(X.emissions(weights, X.features(t, chain, X.file_features(t))), moves)
+            want = [[c] for c, g in zip(chain, tags, strict=True) if g == X.BEGIN]
+            spans = X.Tagger(weights, moves).spans(t)
+            assert [s[:1] for s in spans] == want and sum(map(len, spans)) == sum(g != X.OUTSIDE for g in tags)
+
+
 def test_edges(edges, nothing):
     assert X.find_secrets(edges).count() == edges.count()
     assert X.find_secrets(nothing).count() == 0

@@ -356,17 +356,33 @@ class Tagger:
         return found[::-1]
 
 
+def uncovered(start: int, end: int, covered: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What the covered spans leave of a range."""
+    found = []
+    for a, _, b in sorted(covered):
+        if a < end and start < b:
+            if start < a:
+                found.append((start, a))
+            start = max(start, b)
+    return [*found, (start, end)] if start < end else found
+
+
 def tagged(text: str, tagger: Tagger, covered: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """The spans that the model adds: chains of begin and inside tags that touch no base span."""
-    spans = [(run[0][0], run[-1][1]) for run in tagger.spans(text)]
-    return [(s, "crf", e) for s, e in spans if not any(a < e and s < b for a, _, b in covered)]
+    """The spans that the model adds: chains of begin and inside tags; of one that touches base spans, what they leave of each token."""
+    found = []
+    for run in tagger.spans(text):
+        if any(a < run[-1][1] and run[0][0] < b for a, _, b in covered):
+            found += [left for token in run for left in uncovered(*token, covered) if any(map(str.isalnum, text[left[0] : left[1]]))]
+        else:
+            found.append((run[0][0], run[-1][1]))
+    return [(s, "crf", e) for s, e in found]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and spans, an array of (start, kind, end) in code points, end exclusive.
 
     Spans are the base patterns' matches, per kind leftmost and without overlap, and those of the model,
-    kind crf, that touch none of them; sorted by start, then by kind as listed in KINDS. Null and empty
+    kind crf, less what they cover; sorted by start, then by kind as listed in KINDS. Null and empty
     texts have none. Ids may be null or repeat; other columns are ignored. Texts are scanned whole.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col))

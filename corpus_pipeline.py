@@ -62,8 +62,9 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Minimum-covariance-determinant steps, MinHash links and error-diffused copies have no SQL form; the
-#: tests hold run() against brute-force versions of the stages.
+#: Minimum-covariance-determinant steps, MinHash links and error-diffused copies have no SQL form. The tests
+#: hold near-duplicates against brute force, decontamination against OP1_SQL and the quality rules against
+#: their operator; of mixing they check bounds only, and of run() that it gives rows.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,8 @@
 import corpus_pipeline as P
+import duckdb
 import test_near_dedup
 
+from docketry.llm.decontamination import OP1_SQL
 from docketry.llm.quality import judge
 
 
@@ -25,6 +27,17 @@ def test_stages(spark, sf_dir, tmp_path):
     assert ids(outs[4]) == copies
 
 
+def test_decontamination_against_sql(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    verdicts = con.execute(f"SELECT doc_id, contaminated FROM ({OP1_SQL})").fetchall()
+    kept = sorted(d for d, contaminated in verdicts if not contaminated)
+    assert 0 < len(kept) < len(verdicts)
+    assert sorted(x.doc_id for x in P.decontaminate(spark, docs, sf_dir).collect()) == kept
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
 

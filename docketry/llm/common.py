@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and is a local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -37,10 +39,11 @@ def scratch(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder, in at most `parts` files.
 
-    parts is 1 for tables of a row per group, and cores() for sums over what was shuffled to many small partitions.
+    parts is 1 for tables of a row per group, and some cores() for narrow rows out of many small partitions. Rows are dealt out anew
+    for it, so the work before runs in as many tasks as it would without.
     """
     shared_dir(df.sparkSession)
-    return (df if parts is None else df.coalesce(parts)).checkpoint()
+    return (df if parts is None else df.coalesce(1) if parts == 1 else df.repartition(parts)).checkpoint()
 
 
 def cores(spark: SparkSession) -> int:

@@ -19,10 +19,12 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Pairs whose sketches say less than this go no further; 5 standard deviations below 0.75.
 SIFT = 0.55
-#: Rows of a bucket that are compared at a time; larger buckets are compared in blocks.
+#: Rows of a bucket whose sketches are compared at a time; larger buckets are compared in blocks.
 BLOCK = 2048
-#: Rounds that take the best partner of each document, before one that takes all that are left.
-BEST_ROUNDS = 2
+#: Shingles of a bucket's sets that are compared at a time; larger buckets are compared in blocks.
+BLOCK_SHINGLES = 1 << 20
+#: Rounds that take the best partner of each document, before the one that compares all that are left.
+BEST_ROUNDS = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,29 +135,41 @@ def sketches(docs: DataFrame) -> DataFrame:
 class Members:
     """Rows of buckets, those of a group (bucket, lo, hi) next to each other, and pairs among them.
 
-    A pair is of one group, of two classes, of both blocks where a group has two, and has sketches alike.
-    With `best`, each row gives its most similar partner in its group only.
+    A pair is of one group, of two classes, of both blocks where a group has two, has sizes of which the smaller may be
+    `percent` of the larger, and has sketches alike.
     """
 
-    def __init__(self, batches: list[pa.RecordBatch], best: bool):
+    def __init__(self, batches: list[pa.RecordBatch], percent: int):
         table = pa.Table.from_batches(batches)
+        self.table, self.percent = table, percent
         self.group = np.stack([table.column(c).to_numpy() for c in ("bucket", "lo", "hi")], axis=1)
-        self.block, self.rep, self.comp = (table.column(c).to_numpy() for c in ("block", "rep", "comp"))
+        self.block, self.rep, self.comp, self.size = (table.column(c).to_numpy() for c in ("block", "rep", "comp", "n_shingles"))
         self.bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1)
-        self.best = best
         self.starts = np.concatenate([[0], np.flatnonzero((self.group[1:] != self.group[:-1]).any(axis=1)) + 1, [len(table)]])
 
-    def pairs(self) -> pa.RecordBatch:
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j are of two classes and of sizes that a link allows."""
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        return (self.comp[i] != self.comp[j]) & (100 * small >= self.percent * large)
+
+    def best(self) -> pa.RecordBatch:
+        """The most similar partner of each row in its group, as pairs of reps."""
         sizes = np.diff(self.starts)
         found = [self.few(sizes)] + [self.many(a, a + n) for a, n in zip(self.starts[:-1], sizes, strict=True) if n > 32]
-        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        a, b = (np.concatenate([self.rep[f[i]] for f in found]) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
+    def open(self) -> pa.RecordBatch:
+        """The rows that have a partner in their group."""
+        sizes = np.diff(self.starts)
+        found = [self.few(sizes)] + [self.many(a, a + n) for a, n in zip(self.starts[:-1], sizes, strict=True) if n > 32]
+        rows = np.unique(np.concatenate([f[i] for f in found for i in (0, 1)]))
+        return self.table.select(["bucket", "rep", "comp", "n_shingles"]).take(pa.array(rows)).combine_chunks().to_batches(len(rows) or 1)[0] if len(rows) else pa.RecordBatch.from_pylist([], self.table.select(["bucket", "rep", "comp", "n_shingles"]).schema)
+
     def few(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of all groups of up to 32 rows at once: rows one apart, two apart and so on."""
         ends = np.repeat(np.where(sizes <= 32, self.starts[1:], 0), sizes)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         nearest, partner = np.full(len(ends), MOST_BITS + 1), np.full(len(ends), -1)
         rows = np.arange(len(ends))
         for apart in range(1, 32):
@@ -163,19 +177,13 @@ class Members:
             if not len(i):
                 break
             j = i + apart
-            fit = (self.comp[i] != self.comp[j]) & ((self.group[i, 1] == self.group[i, 2]) | (self.block[i] != self.block[j]))
+            fit = self.fit(i, j) & ((self.group[i, 1] == self.group[i, 2]) | (self.block[i] != self.block[j]))
             i, j = i[fit], j[fit]
             differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1)
-            if self.best:
-                for x, y in ((i, j), (j, i)):
-                    closer = differ < nearest[x]
-                    nearest[x[closer]], partner[x[closer]] = differ[closer], y[closer]
-            else:
-                near = differ <= MOST_BITS
-                left.append(self.rep[i[near]]), right.append(self.rep[j[near]])
-        if self.best:
-            left, right = [self.rep[partner >= 0]], [self.rep[partner[partner >= 0]]]
-        return np.concatenate(left), np.concatenate(right)
+            for x, y in ((i, j), (j, i)):
+                closer = differ < nearest[x]
+                nearest[x[closer]], partner[x[closer]] = differ[closer], y[closer]
+        return np.flatnonzero(partner >= 0), partner[partner >= 0]
 
     def many(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Of one larger group: all rows against all, or the first block against the second, 256 at a time."""
@@ -184,37 +192,43 @@ class Members:
         one, other = (rows, rows) if lo == hi else (rows[self.block[rows] == lo], rows[self.block[rows] == hi])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         nearest, partner = np.full(len(other), MOST_BITS + 1), np.full(len(other), -1)
-        for at in range(0, len(one), 256):
+        for at in range(0, len(one) if len(other) else 0, 256):
             part = one[at : at + 256]
             differ = np.zeros((len(part), len(other)), np.int16)
             for w in range(self.bits.shape[1]):
                 differ += np.bitwise_count(self.bits[part, w, None] ^ self.bits[None, other, w])
-            differ[self.comp[part, None] == self.comp[None, other]] = SKETCH_BITS
-            if not self.best:
-                i, j = np.nonzero(differ <= MOST_BITS)
-                left.append(self.rep[part[i]]), right.append(self.rep[other[j]])
-            elif len(other):
-                column = differ.argmin(axis=1)
-                near = differ[np.arange(len(part)), column] <= MOST_BITS
-                left.append(self.rep[part[near]]), right.append(self.rep[other[column[near]]])
-                row = differ.argmin(axis=0)
-                closer = differ[row, np.arange(len(other))] < nearest
-                nearest[closer], partner[closer] = differ[row[closer], np.flatnonzero(closer)], part[row[closer]]
-        if self.best and lo != hi:
-            left.append(self.rep[other[partner >= 0]]), right.append(self.rep[partner[partner >= 0]])
+            differ[~self.fit(part[:, None], other[None, :])] = SKETCH_BITS
+            column = differ.argmin(axis=1)
+            near = differ[np.arange(len(part)), column] <= MOST_BITS
+            left.append(part[near]), right.append(other[column[near]])
+            row = differ.argmin(axis=0)
+            closer = differ[row, np.arange(len(other))] < nearest
+            nearest[closer], partner[closer] = differ[row[closer], np.flatnonzero(closer)], part[row[closer]]
+        left.append(other[partner >= 0]), right.append(partner[partner >= 0])
         return np.concatenate(left), np.concatenate(right)
 
 
-def candidates(members: DataFrame, best: bool) -> DataFrame:
-    """Distinct pairs (a, b) of reps in a shared bucket, in different classes, with sketches alike.
+def _dealt(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """members, which have bucket, rep, comp, dealt out to groups (bucket, lo, hi) of one block or two.
 
-    `members` has bucket, rep, comp, sketch. Buckets within one class have nothing to find. A bucket of more
-    than BLOCK rows is dealt out to pairs of blocks, so a task never holds more than two of them.
+    Buckets within one class have nothing to find. In the others the rows of the class that has most of them, which need
+    not be compared with each other, and the rest are dealt to blocks of a summed weight of `most` on average, by a
+    hash of rep. Each block of the rest meets itself, the other blocks of the rest, and those of the large class.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where(F.col("_lo") < F.col("_hi")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "block", "rep", "comp", "sketch")
-    grouped = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    classes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    sizes = classes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max(F.struct("n", "comp", "w"))["w"].alias("w"), F.sum("w").alias("all"), F.count("*").alias("classes"))
+    sizes = sizes.where("classes > 1").select("bucket", "main", F.ceil(F.col("w") / most).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("w")) / most)).cast("int").alias("rests"))
+    joined = members.join(sizes, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    # Blocks of the rest are 0..rests-1, those of the large class follow.
+    block = F.when(F.col("is_main"), F.col("rests") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rests"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("rests") + F.when(F.col("is_main"), 0).otherwise(F.col("mains")) - 1)
+    paired = joined.withColumn("block", block).withColumn("o", F.explode(others))
+    kept = [c for c in members.columns if c != "bucket"]
+    return paired.select("bucket", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", *kept).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _by_group(grouped: DataFrame, percent: int, step: str, schema: str) -> DataFrame:
+    """Members.best or Members.open of rows that _dealt has sorted by group, some thousand rows at a time."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -222,16 +236,24 @@ def candidates(members: DataFrame, best: bool) -> DataFrame:
             held.append(batch)
             if sum(len(b) for b in held) < 20_000:
                 continue
-            members = Members(held, best)
+            members = Members(held, percent)
             if (last := int(members.starts[-2])) == 0:
                 continue  # one group that goes on
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield Members([whole.slice(0, last)], best).pairs()
+            yield getattr(Members([whole.slice(0, last)], percent), step)()
             held = [whole.slice(last)]
         if held:
-            yield Members(held, best).pairs()
+            yield getattr(Members(held, percent), step)()
+
+    return grouped.mapInArrow(find, schema)
+
 
-    return grouped.mapInArrow(find, "a long, b long").distinct()
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of reps in a shared bucket, in different classes, each the other's or its own best by sketch.
+
+    `members` has bucket, rep, comp, n_shingles, sketch. At most two pairs come from a row of a group.
+    """
+    return _by_group(_dealt(members.withColumn("one", F.lit(1)), "one", BLOCK), percent, "best", "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -256,6 +278,64 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def linked_in_blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join up all classes of `members` with a link between them: every pair left is compared on full sets.
+
+    First the sketches say which rows of a bucket have a partner in another class at all; these rows, not pairs of
+    them, get their texts. Then the sets of a group are compared where they lie, each row of one class with
+    all rows of others at once, and a group gives links until its linked classes hang together: fewer links than rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    found = _by_group(_dealt(members.withColumn("one", F.lit(1)), "one", BLOCK), percent, "open", ", ".join(f"{c} {kinds[c]}" for c in ("bucket", "rep", "comp", "n_shingles"))).distinct()
+    open_ = cut(found, 2 * cores(members.sparkSession))
+    grouped = _dealt(open_, "n_shingles", BLOCK_SHINGLES).join(texts, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi", "block", "rep", "comp", "text")), strict=True):
+                if row[:3] != group:
+                    if rows:
+                        yield spanning(rows, percent)
+                    group, rows = row[:3], []
+                rows.append((*row[1:6], shingle_set(row[6])))
+        if rows:
+            yield spanning(rows, percent)
+
+    return grouped.select("bucket", "lo", "hi", "block", "rep", "comp", "text").mapInArrow(compare, "a long, b long").distinct()
+
+
+def spanning(rows: list[tuple], percent: int) -> pa.RecordBatch:
+    """Links (a, b) of a group's rows (lo, hi, block, rep, comp, set) that join what any links between its classes join."""
+    lo, hi = rows[0][:2]
+    block, rep, comp = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    size = np.array([len(r[5]) for r in rows])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True)[1].ravel()
+    mark = np.zeros(len(flat), np.int32)
+    _, of = np.unique(comp, return_inverse=True)
+    of = of.ravel().copy()
+    links: list[tuple[int, int]] = []
+    # The rows of one block against the other's; of a single block, each row against those after it.
+    for i in np.flatnonzero(block == lo):
+        other = of != of[i]
+        if lo == hi:
+            other[: i + 1] = False
+        else:
+            other &= block == hi
+        if not other.any():
+            continue
+        mine = flat[ends[i] : ends[i + 1]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[flat], ends[:-1])
+        mark[mine] = 0
+        near = np.flatnonzero(other & (100 * common >= percent * (size + size[i] - common)))
+        for c, j in zip(*np.unique(of[near], return_index=True), strict=True):
+            links.append((int(rep[i]), int(rep[near[j]])))
+            of[of == c] = of[i]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node of the edges (a, b) reaches; nodes without edges are left out.
 
@@ -292,37 +372,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of equal sets become one representative, named by its smallest id. Representatives are banded,
     sifted by odd sketches and confirmed on full sets. Rounds that take each one's best partner in another
     class come first, so that a large group of near copies is joined up with few pairs; the last round
-    takes every pair that is left between classes.
+    compares, block by block, all that are left in different classes, and makes no rows of pairs. Texts of any length
+    are taken whole; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     tasks = cores(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     known = cut(sketches(rows))
-    sets = known.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = cut(sets, tasks)
+    sets = known.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = cut(sets, 2 * tasks)
     banded = sets.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = cut(banded.join(shared, "bucket"), tasks)
+    buckets = cut(banded.join(shared, "bucket"), 2 * tasks)
     path = scratch(spark, "texts")
-    rows.join(buckets.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep", "text"]).coalesce(2 * tasks).write.parquet(path)
+    rows.join(buckets.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep", "text"]).repartition(2 * tasks).write.parquet(path)
     texts = spark.read.parquet(path)
 
     links, tried, classes = None, None, None
-    for best in [True] * BEST_ROUNDS + [False]:
-        named = sets.select("rep", "sketch")
+
+    def members() -> DataFrame:
+        named = sets.select("rep", "n_shingles", "sketch")
         if classes is None:
-            named = named.withColumn("comp", F.col("rep"))
+            return buckets.join(named.withColumn("comp", F.col("rep")), "rep")
+        return buckets.join(named.join(classes, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sketch", F.coalesce("comp", "rep").alias("comp")), "rep")
+
+    for best in [True] * BEST_ROUNDS + [False]:
+        if best:
+            found = candidates(members(), percent)
+            found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), 2 * tasks)
+            new = cut(confirmed(found, texts, percent), tasks)
+            tried = found if tried is None else tried.union(found)
         else:
-            named = named.join(classes, F.col("rep") == F.col("node"), "left").select("rep", "sketch", F.coalesce("comp", "rep").alias("comp"))
-        found = candidates(buckets.join(named, "rep"), best)
-        found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), tasks)
-        if found.isEmpty():
-            if best:
-                continue
-            break
-        new = confirmed(found, texts, percent)
-        links = cut(new if links is None else new.union(classes.select(F.col("node").alias("a"), F.col("comp").alias("b"))), tasks)
-        tried = found if tried is None else tried.union(found)
+            new = cut(linked_in_blocks(members(), texts, percent), tasks)
+        if new.isEmpty():
+            continue
+        links = new if classes is None else new.union(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         classes = components(links)
     named = sets.select("set", "rep")
     if classes is not None:

@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,25 +69,30 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     """One row per conversation: id, formatted, n_turns, roles, texts, loss_spans, all but the first read back from it.
 
     loss_spans has start and end, in code points of `formatted`, of every text whose role is trained on.
-    Turns are ordered by turn (null first), then role and text. A null role or text is empty; rows with
-    a null id form one conversation; equal rows are turns of their own; other columns are ignored.
+    Turns are ordered by turn (null first), then role and text. A null role or text is empty, texts of any length are whole; rows with
+    a null id belong to no known conversation, and each is one of its own; equal rows are turns of their own; ids of any type stay as they
+    are; other columns are ignored; an empty table gives an empty result. A conversation is one row, so it has to fit in memory.
     """
 
-    def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, id_, turns in batch.itertuples():
-                pairs = [(t["role"], t["text"]) for t in turns]
-                formatted, parsed = format_checked(pairs)
-                found.append((id_, formatted, len(parsed), [p[0] for p in parsed], [p[1] for p in parsed], [{"start": p[2], "end": p[3]} for p in parsed if p[0] in trained]))
-            yield pd.DataFrame(found, columns=["id", "formatted", "n_turns", "roles", "texts", "loss_spans"])
+            done = [format_checked([(t["role"], t["text"]) for t in turns]) for turns in batch.column(1).to_pylist()]
+            columns = [
+                pa.array([formatted for formatted, _ in done], pa.string()), pa.array([len(turns) for _, turns in done], pa.int64()),
+                pa.array([[t[0] for t in turns] for _, turns in done], pa.list_(pa.string())), pa.array([[t[1] for t in turns] for _, turns in done], pa.list_(pa.string())),
+                pa.array([[{"start": t[2], "end": t[3]} for t in turns if t[0] in trained] for _, turns in done], spans),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "formatted", "n_turns", "roles", "texts", "loss_spans"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     empty = F.lit("")
     turns = rows.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text")).alias("t"))
-    gathered = turns.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = turns.withColumn("one", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    gathered = alone.groupBy("id", "one").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("one")
     schema = f"id {kind}, formatted string, n_turns long, roles array<string>, texts array<string>, loss_spans array<struct<start:long,end:long>>"
-    return gathered.mapInPandas(formed, schema).withColumnRenamed("id", id_col)
+    return gathered.mapInArrow(formed, schema).withColumnRenamed("id", id_col)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +102,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     formatted = format_conversations(rows.unionByName(planted))
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for id_, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = parse(text)
                 every = "".join(f"{role}\n{said}\n" for role, said, _, _ in turns)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                found.append((id_, len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(found, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                found.append((len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], names)
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

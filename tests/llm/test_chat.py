@@ -38,8 +38,11 @@ def test_query(spark, sf_dir):
 
 
 def test_edges(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "a"), (None, None, "user", "b"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "assistant", "long " * 100_000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as id", "'c' as formatted")
-    got = {x.conv_id: (x.roles, x.texts) for x in H.format_conversations(df).collect()}
-    assert got[1] == (["user", ""], ["", "x"]) and got[None] == (["user", "assistant"], ["b", "a"]) and got[2][1] == ["same", "same"]
+    big = 2**53 + 1
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "a"), (None, None, "user", "b"), (2, 0, "user", "same"), (2, 0, "user", "same"), (big, 0, "assistant", "long " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as id", "'c' as formatted", "'c' as t", "'c' as turns")
+    found = H.format_conversations(df).collect()
+    got = {x.conv_id: (x.roles, x.texts) for x in found if x.conv_id is not None}
+    assert got.keys() == {1, 2, big} and got[1] == (["user", ""], ["", "x"]) and got[2][1] == ["same", "same"] and len(got[big][1][0]) == 500_000
+    assert sorted((x.roles, x.texts) for x in found if x.conv_id is None) == [(["assistant"], ["a"]), (["user"], ["b"])]
     assert H.format_conversations(df.limit(0)).count() == 0

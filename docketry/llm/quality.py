@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import cores, cut, small, table, words
 
-#: A window's place in its text takes so many bits of a sorted long, the rest are of its hash.
-PLACE_BITS = 26
+#: A window's place in its text takes so many bits of a sorted long, the rest are of its hash. No text has more
+#: words: Spark's strings have 2^31 bytes at most.
+PLACE_BITS = 30
 #: Share of a group's rows that the minimum covariance determinant is taken over.
 COVERAGE = 0.6
-#: Smaller groups are estimated with their language, rows of smaller languages together.
-LEAST_ROWS = 200
-#: The chance that a row of a normal population is rejected. So small as the statistics of sound documents, short
-#: ones and those with a repeated passage above all, have longer tails than a normal population's.
-REJECT = 1e-12
-#: Concentration steps; each lowers a group's determinant or leaves it.
-STEPS = 4
-# The statistics that are compared, and the least spread that each is given: no smaller difference
-# tells a document from its group.
-SPREADS = {"word_length": 0.06, "symbol_rate": 0.05, "line_repeats": 0.15, "word_repeats": 0.12}
+#: So many rows of its language stand beside a group's own: small groups are close to their language, large ones to themselves.
+SHRINK = 20
+#: The chance that a row of a normal population is rejected.
+REJECT = 1e-5
+#: Share of a normal population that the last estimate is made from.
+REWEIGHTED = 0.975
+#: Concentration steps at most; they end when no group's determinant falls any more.
+STEPS = 12
+#: The statistics that are compared. Least spread of each: in most groups most documents have no symbols or repeats at all, and a
+#: covariance of these is singular. Sampling spread of a document of one word, which falls with the root of its length: symbols come as a
+#: Poisson count, whose square root has spread 1/2; repeats come some words at a time; word lengths differ by about half, on a log scale.
+SPREADS = {"word_length": (0.02, 0.5), "symbol_rate": (0.03, 0.5), "line_repeats": (0.1, 1.0), "word_repeats": (0.1, 2.2)}
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,69 +79,83 @@ def chi2_quantile(p: float, df: float) -> float:
     return lo
 
 
-def _cholesky(names: list[str], spread: dict[str, float], factor: float) -> dict[str, Column]:
-    """Columns of the lower factor of factor * covariance + the least variances on the diagonal."""
-    low: dict[tuple[int, int], Column] = {}
-    for i, a in enumerate(names):
+def _variances(names: list[str], spread: dict[str, tuple[float, float]], length: Column | None) -> dict[tuple[int, int], Column]:
+    """The lower triangle of c_j_i, with least and sampling variances on the diagonal."""
+    extra = lambda a: F.lit(spread[a][0] ** 2) + (F.lit(spread[a][1] ** 2) / length if length is not None else F.lit(0.0))
+    return {(i, j): F.col(f"c_{j}_{i}") + (extra(a) if i == j else F.lit(0.0)) for i, a in enumerate(names) for j in range(i + 1)}
+
+
+def _factored(df: DataFrame, v: dict[tuple[int, int], Column], n: int) -> DataFrame:
+    """df with the lower factor of the covariance v as columns _l_i_j, made one after the other, so that no expression repeats another."""
+    for i in range(n):
         for j in range(i + 1):
-            v = factor * F.col(f"c_{j}_{i}") + (F.lit(spread[a] ** 2) if i == j else F.lit(0.0))
+            x = v[i, j]
             for k in range(j):
-                v = v - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / low[j, j]
-    return {f"l_{i}_{j}": x for (i, j), x in low.items()}
+                x = x - F.col(f"_l_{i}_{k}") * F.col(f"_l_{j}_{k}")
+            df = df.withColumn(f"_l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"_l_{j}_{j}"))
+    return df
 
 
-def _distance(names: list[str]) -> Column:
-    """The squared Mahalanobis distance, by forward substitution in the columns of _cholesky."""
-    y: list[Column] = []
+def _staged(df: DataFrame, names: list[str], spread: dict[str, tuple[float, float]], length: Column) -> DataFrame:
+    """df, which has the parameters m_i and c_j_i of its rows' groups, with `_d`: the squared Mahalanobis distance."""
+    n = len(names)
+    df = _factored(df, _variances(names, spread, length), n)
     for i, a in enumerate(names):
-        v = F.col(a) - F.col(f"m_{i}")
+        x = F.col(a) - F.col(f"m_{i}")
         for j in range(i):
-            v = v - F.col(f"l_{i}_{j}") * y[j]
-        y.append(v / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+            x = x - F.col(f"_l_{i}_{j}") * F.col(f"_y_{j}")
+        df = df.withColumn(f"_y_{i}", x / F.col(f"_l_{i}_{i}"))
+    return df.withColumn("_d", sum((F.col(f"_y_{i}") * F.col(f"_y_{i}") for i in range(1, n)), F.col("_y_0") * F.col("_y_0")))
 
 
-def outliers(rows: DataFrame, groups: list[str], spread: dict[str, float], coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """rows with `distance`: the squared robust Mahalanobis distance from the row's group.
+def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float, float]], length: str = "n_words", coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """rows with `distance`: the squared robust Mahalanobis distance from the row's group; null where the group has no fitted row.
 
-    `fit` (boolean) says which rows an estimate is made from, the keys of `spread` are the statistics.
-    The minimum covariance determinant is approached from the medians and absolute deviations by
-    concentration: take the `coverage` share of rows nearest to the current estimate, estimate their
-    mean and covariance, and repeat. Everything is sums and sketched quantiles by group; a group's
-    parameters are one row. Groups of under LEAST_ROWS fitted rows join their first column's group, and those of the
-    smallest first columns one common group.
+    `fit` (boolean) says which rows an estimate is made from, the keys of `spread` are the statistics, each with its least and its sampling spread.
+    The minimum covariance determinant is approached by concentration: take the `coverage` share of rows nearest to the current
+    estimate, estimate their mean and covariance, and repeat until no determinant falls. It starts from the medians and absolute deviations and from
+    the mean and covariance of all rows; of both ends the one of the smaller determinant counts, and is estimated once more from all rows within the
+    REWEIGHTED quantile. Estimates are made of each group and of its first column's group, and a
+    group's own, by its rows, is averaged with that of the latter, by SHRINK rows. Everything is sums and sketched quantiles by group; a group's
+    parameters are one row.
     """
-    names = list(spread)
-    key = [f"_k{i}" for i in range(2)]
-    sizes = rows.where("fit").groupBy(*groups).agg(F.count("*").alias("_n"))
-    whole = sizes.groupBy(groups[0]).agg(F.sum("_n").alias("_m")).withColumnRenamed(groups[0], "_g0")
-    known = small(cut(sizes.join(whole, F.equal_null(groups[0], "_g0")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_n", "_m"), 1))
-    joined = rows.join(known, F.equal_null(groups[0], "_g0") & F.equal_null(groups[1], "_g1"), "left")
-    alone, ample = F.col("_n") >= LEAST_ROWS, F.col("_m") >= LEAST_ROWS
-    part = lambda i, ok: F.when(ok, F.concat(F.lit("="), F.coalesce(F.col(groups[i]).cast("string"), F.lit("\x00")))).otherwise("*")
-    keyed = cut(joined.select(*rows.columns, part(0, alone | ample).alias("_k0"), part(1, alone).alias("_k1")), cores(rows.sparkSession))
-    fitted = keyed.where("fit")
-
-    def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-        return df.join(small(params), key, "left")
-
-    middle = fitted.groupBy(*key).agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m_{i}") for i, a in enumerate(names)])
-    middle = cut(middle, 1)
-    off = with_params(fitted, middle).groupBy(*key).agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, a in enumerate(names)])
-    zero = {f"c_{j}_{i}": (F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0)) for i in range(len(names)) for j in range(i + 1)}
-    params = cut(off.join(middle, key).withColumns(zero).select(*key, *[f"m_{i}" for i in range(len(names))], *[x.alias(c) for c, x in _cholesky(names, spread, 1.0).items()]), 1)
+    names, key = list(spread), ["_k0", "_k1", "_start"]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    text = lambda g: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit(""))
+    keyed = cut(rows.withColumns({"_k0": text(groups[0]), "_k1": text(groups[1])}), 2 * cores(rows.sparkSession))
+    # Each fitted row in its group and in the whole of its first column's, for either start.
+    levels = keyed.where("fit").select("_k0", F.explode(F.array(F.col("_k1"), F.lit("*"))).alias("_k1"), length, *names)
+    fitted = levels.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
+    means, covs = [F.avg(a).alias(f"m_{i}") for i, a in enumerate(names)], [F.covar_pop(names[j], names[i]).alias(f"c_{j}_{i}") for i, j in pairs]
+    near = lambda df, params, on: _staged(df.join(small(params), on), names, spread, F.col(length))
+
+    def determined(params: DataFrame, factor: float) -> DataFrame:
+        """params with their covariances made consistent and `det`."""
+        wide = cut(params.withColumns({f"c_{j}_{i}": factor * F.col(f"c_{j}_{i}") for i, j in pairs}), 1)
+        low = _factored(wide, _variances(names, spread, None), len(names))
+        return low.select(*wide.columns, (2 * sum((F.log(f"_l_{i}_{i}") for i in range(1, len(names))), F.log("_l_0_0"))).alias("det"))
+
+    middle = cut(levels.groupBy("_k0", "_k1").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m_{i}") for i, a in enumerate(names)]), 1)
+    off = levels.join(small(middle), ["_k0", "_k1"]).groupBy("_k0", "_k1").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, a in enumerate(names)])
+    first = off.join(middle, ["_k0", "_k1"]).select("_k0", "_k1", F.lit(0).alias("_start"), *[f"m_{i}" for i in range(len(names))], *[(F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{j}_{i}") for i, j in pairs])
+    params = determined(first.unionByName(levels.groupBy("_k0", "_k1").agg(F.lit(1).alias("_start"), *means, *covs)), 1.0)
     # Of a normal population's covariance, the nearest share shows this part.
-    factor = coverage / _chi2_cdf(chi2_quantile(coverage, len(names)), len(names) + 2)
-    for _ in range(steps):
-        near = with_params(fitted, params).withColumn("_d", _distance(names))
-        limit = near.groupBy(*key).agg(F.percentile_approx("_d", coverage, 10000).alias("_limit"))
-        core = near.join(small(cut(limit, 1)), key).where("_d <= _limit")
-        means = [F.avg(a).alias(f"m_{i}") for i, a in enumerate(names)]
-        covs = [F.covar_pop(names[j], names[i]).alias(f"c_{j}_{i}") for i in range(len(names)) for j in range(i + 1)]
-        params = core.groupBy(*key).agg(*means, *covs)
-        params = cut(params.select(*key, *[f"m_{i}" for i in range(len(names))], *[x.alias(c) for c, x in _cholesky(names, spread, factor).items()]), 1)
-    return with_params(keyed, params).select(*rows.columns, _distance(names).alias("distance"))
+    part = lambda share: share / _chi2_cdf(chi2_quantile(share, len(names)), len(names) + 2)
+    for step in range(steps):
+        limit = cut(near(fitted, params, key).groupBy(*key).agg(F.percentile_approx("_d", coverage, 10000).alias("_limit")), 1)
+        moved = determined(near(fitted, params.join(limit, key), key).where("_d <= _limit").groupBy(*key).agg(*means, *covs), part(coverage))
+        fell = params.select(*key, F.col("det").alias("_before")).join(moved, key).agg(F.max(F.col("_before") - F.col("det"))).first()[0]
+        params = moved
+        if step and (fell is None or fell < 1e-3):
+            break
+    best = params.groupBy("_k0", "_k1").agg(F.min_by(F.struct(*[f"m_{i}" for i in range(len(names))], *[f"c_{j}_{i}" for i, j in pairs]), F.struct("det", "_start")).alias("_p")).select("_k0", "_k1", "_p.*")
+    inside = near(levels, cut(best, 1), ["_k0", "_k1"]).where(F.col("_d") <= chi2_quantile(REWEIGHTED, len(names)))
+    last = determined(inside.groupBy("_k0", "_k1").agg(F.count("*").alias("_n"), *means, *covs), part(REWEIGHTED)).drop("det")
+    whole = last.where("_k1 = '*'").select(F.col("_k0").alias("_w"), *[F.col(c).alias(f"_{c}") for c in last.columns if c[:2] in ("m_", "c_")])
+    share = F.col("_n") / (F.col("_n") + SHRINK)
+    mixed = last.where("_k1 <> '*'").join(whole, F.col("_k0") == F.col("_w")).select("_k0", "_k1", *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in last.columns if c[:2] in ("m_", "c_")])
+    found = _staged(keyed.join(small(cut(mixed, 1)), ["_k0", "_k1"], "left"), names, spread, F.greatest(F.col(length), F.lit(1)))
+    return found.select(*rows.columns, F.col("_d").alias("distance"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reject: float = REJECT) -> DataFrame:
@@ -147,8 +164,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     base_failed: under 50 words, or over half of the words in repeated three-word windows. Other rows are
     kept unless their squared distance from their language's and source's robust centre is beyond the
     chi-square quantile of 1 - reject. Null and empty texts have no words and fail; null languages and
-    sources are groups of their own; a single row is its own centre; ids may be null or repeat; other
-    columns are ignored. text_hash tells rows of equal id apart.
+    sources are groups of their own; a language's single row is its own centre; ids of any type may be null or repeat; other
+    columns are ignored; texts of any length are taken whole; an empty table gives an empty result. text_hash tells rows of equal id apart.
     """
     raw = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     counted = statistics(raw)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -41,25 +42,64 @@ def test_verdicts_follow_the_labels(spark):
     assert np.mean([x.kept for x in rows if x.quality == 0]) < 0.1
 
 
-def test_outliers_against_brute_force(spark, monkeypatch):
-    """The concentration steps in numpy, with the same start, coverage and spreads, one group a third outliers."""
+def brute_distances(x, n, spread, whole=None):
+    """The estimate in numpy: two starts, concentration, the smaller determinant, reweighting; `whole` is the language's."""
+    least, noise = (np.array([s[i] for s in spread.values()]) for i in (0, 1))
+    k = x.shape[1]
+    rank = lambda v, share: np.sort(v)[int(np.ceil(share * len(v))) - 1]
+    part = lambda share: share / Q._chi2_cdf(Q.chi2_quantile(share, k), k + 2)
+    distance = lambda m, c: np.array([(v - m) @ np.linalg.inv(c + np.diag(least**2 + noise**2 / w)) @ (v - m) for v, w in zip(x, n, strict=True)])
+    middle = np.array([rank(c, 0.5) for c in x.T])
+    mad = np.array([rank(c, 0.5) for c in np.abs(x - middle).T])
+    ends = []
+    for m, c in ((middle, np.diag((1.4826 * mad) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
+        for _ in range(Q.STEPS):
+            d = distance(m, c)
+            core = x[d <= rank(d, Q.COVERAGE)]
+            m, c = core.mean(axis=0), part(Q.COVERAGE) * np.cov(core.T, bias=True)
+        ends.append((np.linalg.det(c + np.diag(least**2)), m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    core = x[distance(m, c) <= Q.chi2_quantile(Q.REWEIGHTED, k)]
+    m, c = core.mean(axis=0), part(Q.REWEIGHTED) * np.cov(core.T, bias=True)
+    if whole is not None:
+        share = len(core) / (len(core) + Q.SHRINK)
+        m, c = share * m + (1 - share) * whole[0], share * c + (1 - share) * whole[1]
+    return distance(m, c), (m, c)
+
+
+def test_outliers_against_brute_force(spark):
+    """Two sources of a language, one of them a third outliers that begin on one side, and a small one."""
     r = np.random.default_rng(4)
-    spread = {"a": 0.05, "b": 0.05}
-    x = r.multivariate_normal([0, 1], [[1, 0.6], [0.6, 0.5]], 900)
+    spread = {"a": (0.05, 0.5), "b": (0.02, 1.0)}
+    x = np.concatenate([r.multivariate_normal([0, 1], [[1, 0.6], [0.6, 0.5]], 900), r.multivariate_normal([1, 0], [[0.2, 0], [0, 0.3]], 300), r.normal(0.5, 0.1, (20, 2))])
     x[:300] = r.normal([9, -6], 0.3, (300, 2))
-    rows = spark.createDataFrame([(i, "en", "s", True, float(p), float(q)) for i, (p, q) in enumerate(x)], "i long, lang string, source string, fit boolean, a double, b double")
-    got = np.array([v.distance for v in Q.outliers(rows, ["lang", "source"], spread).orderBy("i").collect()])
-    middle = np.array([np.sort(c)[int(np.ceil(len(c) / 2)) - 1] for c in x.T])
-    mad = np.array([np.sort(c)[int(np.ceil(len(c) / 2)) - 1] for c in np.abs(x - middle).T])
-    m, c = middle, np.diag((1.4826 * mad) ** 2) + np.eye(2) * 0.05**2
-    factor = Q.COVERAGE / Q._chi2_cdf(Q.chi2_quantile(Q.COVERAGE, 2), 4)
-    distance = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    for _ in range(Q.STEPS):
-        d = distance()
-        core = x[d <= np.sort(d)[int(np.ceil(Q.COVERAGE * len(d))) - 1]]
-        m, c = core.mean(axis=0), factor * np.cov(core.T, bias=True) + np.eye(2) * 0.05**2
-    assert got == pytest.approx(distance(), rel=1e-6)
-    assert (got[:300] > Q.chi2_quantile(1 - Q.REJECT, 2)).all() and (got[300:] < Q.chi2_quantile(1 - Q.REJECT, 2)).mean() > 0.999
+    source, n = np.repeat(["s", "t", "u"], [900, 300, 20]), r.integers(50, 2000, len(x))
+    rows = [(i, "en", str(source[i]), True, int(n[i]), float(p), float(q)) for i, (p, q) in enumerate(x)]
+    df = spark.createDataFrame(rows, "i long, lang string, source string, fit boolean, n_words long, a double, b double")
+    got = np.array([v.distance for v in Q.outliers(df, ["lang", "source"], spread).orderBy("i").collect()])
+    whole = brute_distances(x, n, spread)[1]
+    for s in "stu":
+        mine = source == s
+        assert got[mine] == pytest.approx(brute_distances(x[mine], n[mine], spread, whole)[0], rel=0.02)
+    cut = Q.chi2_quantile(1 - Q.REJECT, 2)
+    assert (got[:300] > cut).all() and (got[300:] < cut).mean() > 0.999
+
+
+def test_the_estimate_decides_where_fixed_thresholds_cannot(spark):
+    """A source of tables, where signs are the rule, and one of prose, in words of other lengths: what is sound in one is junk in the other."""
+    r = random.Random(3)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(max(1, round(r.gauss(k, 1)))))
+    text = lambda n, k, sign: " ".join(word(k) + (r.choice("|&#") if r.random() < sign else "") for _ in range(n))
+    rows = [(i, text(r.randrange(60, 200), *((8, 0.5) if i % 2 else (4, 0.0))), "en", "tables" if i % 2 else "prose", "sound") for i in range(600)]
+    rows += [(1000 + i, text(r.randrange(60, 200), 4, 0.5), "en", "prose", "junk") for i in range(40)] + [(2000 + i, text(r.randrange(60, 200), 4, 0.0), "en", "tables", "junk") for i in range(40)]
+    rows += [(3000 + i, text(r.randrange(60, 200), 8, 0.0), "en", "prose", "junk") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label string")
+    got = Q.judge(df).join(df.select("doc_id", "label"), "doc_id").collect()
+    assert np.mean([x.kept for x in got if x.label == "sound"]) >= 0.99 and np.mean([x.kept for x in got if x.label == "junk"]) <= 0.02
+    # No single threshold does it: sound and junk have the same rates of signs and the same lengths of words.
+    for value in (lambda x: x.n_symbols / x.n_words, lambda x: x.word_chars / x.n_words):
+        of = lambda label: sorted(value(x) for x in got if x.label == label)  # noqa: E731, B023
+        assert of("sound")[5] < of("junk")[60] < of("sound")[-5]
 
 
 def test_chi2():

@@ -153,10 +153,11 @@ class Members:
         return (self.comp[i] != self.comp[j]) & (100 * small >= self.percent * large)
 
     def best(self) -> pa.RecordBatch:
-        """The most similar partner of each row in its group, as pairs of reps."""
+        """The most similar partner of each row in its group, as pairs of reps; not of rows of the bucket's large class, which the others find."""
         sizes = np.diff(self.starts)
         found = [self.few(sizes)] + [self.many(a, a + n) for a, n in zip(self.starts[:-1], sizes, strict=True) if n > 32]
-        a, b = (np.concatenate([self.rep[f[i]] for f in found]) for i in (0, 1))
+        rest = ~self.table.column("is_main").to_numpy()
+        a, b = (np.concatenate([self.rep[f[i][rest[f[0]]]] for f in found]) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -224,7 +225,7 @@ def _dealt(members: DataFrame, weight: str, most: int) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("rests") + F.when(F.col("is_main"), 0).otherwise(F.col("mains")) - 1)
     paired = joined.withColumn("block", block).withColumn("o", F.explode(others))
     kept = [c for c in members.columns if c != "bucket"]
-    return paired.select("bucket", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", *kept).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return paired.select("bucket", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "is_main", *kept).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
 def _by_group(grouped: DataFrame, percent: int, step: str, schema: str) -> DataFrame:
@@ -251,7 +252,7 @@ def _by_group(grouped: DataFrame, percent: int, step: str, schema: str) -> DataF
 def candidates(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of reps in a shared bucket, in different classes, each the other's or its own best by sketch.
 
-    `members` has bucket, rep, comp, n_shingles, sketch. At most two pairs come from a row of a group.
+    `members` has bucket, rep, comp, n_shingles, sketch. At most one pair comes from a row of a group.
     """
     return _by_group(_dealt(members.withColumn("one", F.lit(1)), "one", BLOCK), percent, "best", "a long, b long").distinct()
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of the plain word rule.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a table with a checked count is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and characters of their text form, up to which a table is broadcast once a count has found it so small.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,16 @@ def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small; otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """df with a broadcast hint if a count shows that its rows and their sizes are small; otherwise Spark picks a shuffled join."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= chars else df
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cores, cut, scratch, table
+from docketry.llm.common import cores, cut, discard, scratch, table
 
 SHINGLE = 5
 #: BANDS * ROWS MinHash samples. Two sets of similarity s share a band with probability
@@ -409,6 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         links = new if classes is None else new.union(classes.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         classes = components(links)
+    discard(spark, path)
     named = sets.select("set", "rep")
     if classes is not None:
         named = named.join(classes, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("comp", "rep").alias("component"))

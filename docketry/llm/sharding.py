@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table
+from docketry.llm.common import cores, cut, table
 
 #: Slots are numbered in so many blocks a shard, so that no task sorts a whole shard.
 BLOCKS = 1024
@@ -42,31 +42,29 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
     The id and the shard count alone decide the shard, so a row never moves except into an appended
     shard. Rows with equal ids, a null id included, share a shard and get slots of their own; a null
-    text has size 8 and the checksum of an empty one. Other columns are ignored. Slots count from 0
-    without gaps within a shard, in the order of block, id, checksum and size; rows equal in all of
-    these are interchangeable.
+    text has size 8 and the checksum of an empty one; texts of any length are taken whole; other columns are ignored; an empty table gives an
+    empty result. Slots count from 0 without gaps within a shard, in the order of block, id, checksum and size; rows equal in all of
+    these are interchangeable: they are counted before they meet, and numbered in runs.
     """
-    key = F.xxhash64(F.col(id_col))
-    block = F.pmod(F.shiftrightunsigned(key, 17), F.lit(BLOCKS)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = docs.select(F.col(id_col), key.alias("_key"), block.alias("_block"), text.alias("_text")).select(
-        id_col,
-        (F.octet_length("_text") + F.lit(8)).cast("long").alias("size"),
-        F.crc32(F.col("_text").cast("binary")).alias("text_crc32"),
-        "_block",
-        jump_shard(F.col("_key"), shards).alias("shard"),
-        jump_shard(F.col("_key"), grow_to or shards + 1).alias("grown_shard"),
-    )
-    # At most shards * BLOCKS rows; the count reads the id column only.
-    counts = docs.select(jump_shard(key, shards).alias("shard"), block.alias("_block")).groupBy("shard", "_block").count()
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_block").orderBy(id_col, "text_crc32", "size")
-    return (
-        placed.withColumn("_nth", F.row_number().over(order))
-        .join(F.broadcast(starts), ["shard", "_block"])
-        .select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"), "grown_shard")
+    placed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("key"), text.alias("text")).select(
+        "id",
+        (F.octet_length("text") + F.lit(8)).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("crc"),
+        jump_shard(F.col("key"), shards).alias("shard"),
+        jump_shard(F.col("key"), grow_to or shards + 1).alias("grown_shard"),
     )
+    alike = placed.groupBy("id", "size", "crc", "shard", "grown_shard").agg(F.count("*").alias("n"))
+    alike = cut(alike.withColumn("block", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(BLOCKS)).cast("int")), 2 * cores(docs.sparkSession))
+    counts = alike.groupBy("shard", "block").agg(F.sum("n").alias("n"))
+    # At most shards * BLOCKS rows.
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "block").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike.withColumn("nth", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(starts), ["shard", "block"])
+    runs = numbered.withColumn("run", F.explode(F.expr("sequence(0, (n - 1) div 4096)")))
+    each = runs.withColumn("i", F.explode(F.expr("sequence(run * 4096, least(n, (run + 1) * 4096) - 1)")))
+    return each.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") + F.col("i")).cast("long").alias("slot"), "grown_shard")
 
 
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

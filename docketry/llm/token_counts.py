@@ -16,6 +16,8 @@ from docketry.llm.common import table
 #: The model writes a space as this mark, puts one before the text, and has no piece in which the mark
 #: follows another character, nor one with a line feed. So merges never cross these borders.
 MARK = "▁"
+#: Longer pieces (a text without spaces is one) are counted each time, so that entries bound a cache's bytes.
+CACHED_LENGTH = 64
 PRE_TOKEN = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -56,6 +58,8 @@ class Lengths(dict):
                 n = (self[first] if first else 1) + len(rest) + sum(self["  " + p] for p in rest if p)
             else:
                 n = len(self.model.encode(piece))
+        if len(piece) > CACHED_LENGTH:
+            return n
         if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
@@ -75,10 +79,10 @@ def frequent(docs: DataFrame, text_col: str, keep: int, per_task: int) -> list[s
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(pre_tokens(text or ""))
+                seen.update(p for p in pre_tokens(text or "") if len(p) <= CACHED_LENGTH)
                 if len(seen) > 10 * per_task:
                     seen = Counter(dict(seen.most_common(2 * per_task)))
-        best = [(p, n) for p, n in seen.most_common(per_task) if len(p) <= 64]
+        best = seen.most_common(per_task)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())})
 
     summed = docs.select(F.col(text_col).alias("text")).mapInArrow(top, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -91,8 +95,8 @@ def count_tokens(
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     `model` is a path to a sentencepiece model that keeps text as it is (no normalization), with the
-    borders described at MARK. A null or empty text has 0 bytes and 0 tokens; ids may be null or repeat;
-    other columns are ignored. `keep` lengths are broadcast, up to `room` more are cached in a worker.
+    borders described at MARK. A null or empty text has 0 bytes and 0 tokens, one of any length is counted whole; ids of any type may be null or repeat;
+    other columns are ignored; an empty table gives an empty result. `keep` lengths are broadcast, up to `room` more are cached in a worker.
     """
     spark = docs.sparkSession
     lookup = Lengths(model, {}, keep)

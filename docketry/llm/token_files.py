@@ -19,6 +19,8 @@ from docketry.llm.common import scratch, table
 # length of a text: contractions, runs of letters, single digits, runs of anything else but white space.
 _LETTER, _DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ \t-\r\x85\xa0{_LETTER}{_DIGIT}]+")
+#: Longer words and pieces are encoded each time, so that entries bound a cache's bytes.
+CACHED_BYTES = 64
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
@@ -54,6 +56,8 @@ class Encoded(dict):
                 found = b"".join([self.parts.get(p) or self.part(p) for p in PRE_TOKEN.findall(text.lower())])
             else:
                 found = packed(self.library.encode(text, add_special_tokens=False).ids)
+        if len(word) > CACHED_BYTES:
+            return found
         if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
@@ -61,10 +65,12 @@ class Encoded(dict):
         return found
 
     def part(self, piece: str) -> bytes:
-        if len(self.parts) >= self.room:
-            self.parts.clear()
         units = piece if piece.isascii() and piece.isprintable() else self.to_units(piece)[0][0]
-        found = self.parts[piece] = packed([t.id for t in self.library.model.tokenize(units)])
+        found = packed([t.id for t in self.library.model.tokenize(units)])
+        if len(piece) <= CACHED_BYTES:
+            if len(self.parts) >= self.room:
+                self.parts.clear()
+            self.parts[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -88,7 +94,9 @@ def write_token_files(
     ids of a row are one list, dictionary or else delta encoded; the other columns are delta encoded.
     Row groups and pages have bounded sizes and page indexes, so a reader may take some rows, or the
     metadata alone. `offset` is where a row starts within its part, parts ascending with the ids.
-    A null id sorts first, equal ids by text; a null or empty text has the end id alone.
+    A null id sorts first, equal ids by the first characters of their text, then a hash of it; equal rows are interchangeable, and
+    dealt out to as many tasks as their number asks for. A null or empty text has the end id alone, one of any length all its ids; other
+    columns are ignored; an empty table gives no rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +110,8 @@ def write_token_files(
             at += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    ranged = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.substring(text_col, 1, 16).alias("head"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    ranged = keyed.repartitionByRange("doc", "head", "hash", "nth").sortWithinPartitions("doc", "head", "hash").select("doc", "text")
     encoded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(encode, f"doc {kind}, part int, offset long, n_tokens long, ids array<int>")
     options = {
         "parquet.writer.version": "v2", "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 1000,

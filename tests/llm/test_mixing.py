@@ -94,6 +94,6 @@ def test_a_third_of_the_rows_alike(spark, monkeypatch):
 
 def test_edges(edges, nothing):
     got = M.mix(edges, M.word_count(F.col("text")), tag=F.xxhash64("text")).collect()
-    assert len(got) == edges.count()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(x.doc_id) for x in edges.collect())
     assert all(x.taken == 0 and x.copies == 1 for x in got if x["size"] == 0)
     assert M.mix(nothing, M.word_count(F.col("text"))).count() == 0

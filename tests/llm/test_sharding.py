@@ -42,6 +42,14 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_a_third_of_the_rows_alike(spark):
+    rows = [(None, "same")] * 9000 + [(5, f"text {i}") for i in range(2000)] + [(i, "x") for i in range(3000)]
+    got = S.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3).collect()
+    assert sorted(x.doc_id or 0 for x in got) == sorted(r[0] or 0 for r in rows) and len({x.shard for x in got if x.doc_id == 5}) == 1
+    for s in range(3):
+        assert sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got)))
+
+
 def test_edges(edges, nothing):
     got = S.assign_shards(edges, 3).collect()
     assert len(got) == edges.count()

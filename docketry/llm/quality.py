@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cores, cut, small, table, words
+from docketry.llm.common import BROADCAST_ROWS, cores, cut, table, words
 
 #: A window's place in its text takes so many bits of a sorted long, the rest are of its hash. No text has more
 #: words: Spark's strings have 2^31 bytes at most.
@@ -19,7 +19,7 @@ REJECT = 1e-5
 #: Share of a normal population that the last estimate is made from.
 REWEIGHTED = 0.975
 #: Concentration steps at most; they end when no group's determinant falls any more.
-STEPS = 12
+STEPS = 8
 #: The statistics that are compared. Least spread of each: in most groups most documents have no symbols or repeats at all, and a
 #: covariance of these is singular. Sampling spread of a document of one word, which falls with the root of its length: symbols come as a
 #: Poisson count, whose square root has spread 1/2; repeats come some words at a time; word lengths differ by about half, on a log scale.
@@ -79,33 +79,31 @@ def chi2_quantile(p: float, df: float) -> float:
     return lo
 
 
-def _variances(names: list[str], spread: dict[str, tuple[float, float]], length: Column | None) -> dict[tuple[int, int], Column]:
-    """The lower triangle of c_j_i, with least and sampling variances on the diagonal."""
-    extra = lambda a: F.lit(spread[a][0] ** 2) + (F.lit(spread[a][1] ** 2) / length if length is not None else F.lit(0.0))
-    return {(i, j): F.col(f"c_{j}_{i}") + (extra(a) if i == j else F.lit(0.0)) for i, a in enumerate(names) for j in range(i + 1)}
-
-
-def _factored(df: DataFrame, v: dict[tuple[int, int], Column], n: int) -> DataFrame:
-    """df with the lower factor of the covariance v as columns _l_i_j, made one after the other, so that no expression repeats another."""
-    for i in range(n):
+def _factor(names: list[str], spread: dict[str, tuple[float, float]]) -> dict[str, Column]:
+    """Of a covariance c_j_i with the least variances added: v_i, its diagonal, and l_i_j, its lower factor."""
+    v = {(i, j): F.col(f"c_{j}_{i}") + (F.lit(spread[a][0] ** 2) if i == j else F.lit(0.0)) for i, a in enumerate(names) for j in range(i + 1)}
+    low: dict[tuple[int, int], Column] = {}
+    for i in range(len(names)):
         for j in range(i + 1):
             x = v[i, j]
             for k in range(j):
-                x = x - F.col(f"_l_{i}_{k}") * F.col(f"_l_{j}_{k}")
-            df = df.withColumn(f"_l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"_l_{j}_{j}"))
-    return df
+                x = x - low[i, k] * low[j, k]
+            low[i, j] = F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / low[j, j]
+    return {f"v_{i}": v[i, i] for i in range(len(names))} | {f"l_{i}_{j}": x for (i, j), x in low.items()}
 
 
-def _staged(df: DataFrame, names: list[str], spread: dict[str, tuple[float, float]], length: Column) -> DataFrame:
-    """df, which has the parameters m_i and c_j_i of its rows' groups, with `_d`: the squared Mahalanobis distance."""
-    n = len(names)
-    df = _factored(df, _variances(names, spread, length), n)
+def _distance(names: list[str], spread: dict[str, tuple[float, float]], length: Column) -> Column:
+    """The squared Mahalanobis distance, by forward substitution in the columns of _factor.
+
+    A statistic's difference counts by the root of the share that its group's variance has of this and of the sampling variance at the row's length.
+    """
+    y: list[Column] = []
     for i, a in enumerate(names):
-        x = F.col(a) - F.col(f"m_{i}")
+        x = (F.col(a) - F.col(f"m_{i}")) * F.sqrt(F.col(f"v_{i}") / (F.col(f"v_{i}") + F.lit(spread[a][1] ** 2) / length))
         for j in range(i):
-            x = x - F.col(f"_l_{i}_{j}") * F.col(f"_y_{j}")
-        df = df.withColumn(f"_y_{i}", x / F.col(f"_l_{i}_{i}"))
-    return df.withColumn("_d", sum((F.col(f"_y_{i}") * F.col(f"_y_{i}") for i in range(1, n)), F.col("_y_0") * F.col("_y_0")))
+            x = x - F.col(f"l_{i}_{j}") * y[j]
+        y.append(x / F.col(f"l_{i}_{i}"))
+    return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
 def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float, float]], length: str = "n_words", coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
@@ -127,16 +125,19 @@ def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float,
     levels = keyed.where("fit").select("_k0", F.explode(F.array(F.col("_k1"), F.lit("*"))).alias("_k1"), length, *names)
     fitted = levels.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
     means, covs = [F.avg(a).alias(f"m_{i}") for i, a in enumerate(names)], [F.covar_pop(names[j], names[i]).alias(f"c_{j}_{i}") for i, j in pairs]
-    near = lambda df, params, on: _staged(df.join(small(params), on), names, spread, F.col(length))
+    # A row of parameters for each group and start: their number, and so whether they are broadcast, is found once.
+    few = 4 * keyed.select("_k0", "_k1").distinct().count() <= BROADCAST_ROWS
+    hinted = lambda df: F.broadcast(df) if few else df
+    near = lambda df, params, on: df.join(hinted(params), on).withColumn("_d", _distance(names, spread, F.col(length)))
+    consistent = lambda factor: {f"c_{j}_{i}": factor * F.col(f"c_{j}_{i}") for i, j in pairs}
 
     def determined(params: DataFrame, factor: float) -> DataFrame:
-        """params with their covariances made consistent and `det`."""
-        wide = cut(params.withColumns({f"c_{j}_{i}": factor * F.col(f"c_{j}_{i}") for i, j in pairs}), 1)
-        low = _factored(wide, _variances(names, spread, None), len(names))
-        return low.select(*wide.columns, (2 * sum((F.log(f"_l_{i}_{i}") for i in range(1, len(names))), F.log("_l_0_0"))).alias("det"))
+        """params with their covariances made consistent, factored, and `det`, the logarithm of the determinant's root."""
+        known = cut(params.withColumns(consistent(factor)).withColumns(_factor(names, spread)), 1)
+        return known.withColumn("det", sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0")))
 
     middle = cut(levels.groupBy("_k0", "_k1").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m_{i}") for i, a in enumerate(names)]), 1)
-    off = levels.join(small(middle), ["_k0", "_k1"]).groupBy("_k0", "_k1").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, a in enumerate(names)])
+    off = levels.join(hinted(middle), ["_k0", "_k1"]).groupBy("_k0", "_k1").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, a in enumerate(names)])
     first = off.join(middle, ["_k0", "_k1"]).select("_k0", "_k1", F.lit(0).alias("_start"), *[f"m_{i}" for i in range(len(names))], *[(F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{j}_{i}") for i, j in pairs])
     params = determined(first.unionByName(levels.groupBy("_k0", "_k1").agg(F.lit(1).alias("_start"), *means, *covs)), 1.0)
     # Of a normal population's covariance, the nearest share shows this part.
@@ -148,14 +149,17 @@ def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float,
         params = moved
         if step and (fell is None or fell < 1e-3):
             break
-    best = params.groupBy("_k0", "_k1").agg(F.min_by(F.struct(*[f"m_{i}" for i in range(len(names))], *[f"c_{j}_{i}" for i, j in pairs]), F.struct("det", "_start")).alias("_p")).select("_k0", "_k1", "_p.*")
+    held = [c for c in params.columns if c not in (*key, "det")]
+    best = params.groupBy("_k0", "_k1").agg(F.min_by(F.struct(*held), F.struct("det", "_start")).alias("_p")).select("_k0", "_k1", "_p.*")
     inside = near(levels, cut(best, 1), ["_k0", "_k1"]).where(F.col("_d") <= chi2_quantile(REWEIGHTED, len(names)))
-    last = determined(inside.groupBy("_k0", "_k1").agg(F.count("*").alias("_n"), *means, *covs), part(REWEIGHTED)).drop("det")
-    whole = last.where("_k1 = '*'").select(F.col("_k0").alias("_w"), *[F.col(c).alias(f"_{c}") for c in last.columns if c[:2] in ("m_", "c_")])
+    moments = [f"m_{i}" for i in range(len(names))] + [f"c_{j}_{i}" for i, j in pairs]
+    last = cut(inside.groupBy("_k0", "_k1").agg(F.count("*").alias("_n"), *means, *covs).withColumns(consistent(part(REWEIGHTED))), 1)
+    whole = last.where("_k1 = '*'").select(F.col("_k0").alias("_w"), *[F.col(c).alias(f"_{c}") for c in moments])
     share = F.col("_n") / (F.col("_n") + SHRINK)
-    mixed = last.where("_k1 <> '*'").join(whole, F.col("_k0") == F.col("_w")).select("_k0", "_k1", *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in last.columns if c[:2] in ("m_", "c_")])
-    found = _staged(keyed.join(small(cut(mixed, 1)), ["_k0", "_k1"], "left"), names, spread, F.greatest(F.col(length), F.lit(1)))
-    return found.select(*rows.columns, F.col("_d").alias("distance"))
+    mixed = last.where("_k1 <> '*'").join(whole, F.col("_k0") == F.col("_w")).select("_k0", "_k1", *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in moments])
+    final = cut(mixed.withColumns(_factor(names, spread)), 1)
+    found = keyed.join(hinted(final), ["_k0", "_k1"], "left")
+    return found.select(*rows.columns, _distance(names, spread, F.greatest(F.col(length), F.lit(1))).alias("distance"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reject: float = REJECT) -> DataFrame:

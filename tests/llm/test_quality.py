@@ -48,7 +48,12 @@ def brute_distances(x, n, spread, whole=None):
     k = x.shape[1]
     rank = lambda v, share: np.sort(v)[int(np.ceil(share * len(v))) - 1]
     part = lambda share: share / Q._chi2_cdf(Q.chi2_quantile(share, k), k + 2)
-    distance = lambda m, c: np.array([(v - m) @ np.linalg.inv(c + np.diag(least**2 + noise**2 / w)) @ (v - m) for v, w in zip(x, n, strict=True)])
+
+    def distance(m, c):
+        c = c + np.diag(least**2)
+        y = (x - m) * np.sqrt(np.diag(c) / (np.diag(c) + noise**2 / n[:, None]))
+        return np.einsum("ij,jk,ik->i", y, np.linalg.inv(c), y)
+
     middle = np.array([rank(c, 0.5) for c in x.T])
     mad = np.array([rank(c, 0.5) for c in np.abs(x - middle).T])
     ends = []
@@ -96,10 +101,11 @@ def test_the_estimate_decides_where_fixed_thresholds_cannot(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label string")
     got = Q.judge(df).join(df.select("doc_id", "label"), "doc_id").collect()
     assert np.mean([x.kept for x in got if x.label == "sound"]) >= 0.99 and np.mean([x.kept for x in got if x.label == "junk"]) <= 0.02
-    # No single threshold does it: sound and junk have the same rates of signs and the same lengths of words.
+    # No threshold on a statistic does it, in either direction: at best some two thirds are told rightly.
     for value in (lambda x: x.n_symbols / x.n_words, lambda x: x.word_chars / x.n_words):
-        of = lambda label: sorted(value(x) for x in got if x.label == label)  # noqa: E731, B023
-        assert of("sound")[5] < of("junk")[60] < of("sound")[-5]
+        sound, junk = (np.array([value(x) for x in got if x.label == label]) for label in ("sound", "junk"))
+        right = [((sound <= t).mean() + (junk > t).mean()) / 2 for t in {*sound, *junk, -1.0}]
+        assert max(*right, 1 - min(right)) < 0.8
 
 
 def test_chi2():

@@ -21,6 +21,27 @@ def normalize_opportunity(x: Column) -> Column:
     return F.when(x.isNull() | (x == ""), x).when(v.rlike(r"(?U)^\d+$"), F.concat(F.lit("SKY-"), v)).when(v.rlike(r"(?U)^SKY\d+$"), F.regexp_replace(v, "^SKY", "SKY-")).otherwise(v)
 
 
+def optional(x: Column) -> Column:
+    """Stripped; null where nothing is left."""
+    return F.nullif(strip(x), F.lit(""))
+
+
+def file_id(checksum: Column) -> Column:
+    """A positive bigint out of a hex checksum: its first 15 digits."""
+    return F.conv(F.substring(checksum, 1, 15), 16, 10).cast("long")
+
+
+def camel(name: str) -> str:
+    """The client's name of a column: case_id becomes caseId."""
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
+def response_json(df, *columns: str) -> Column:
+    """The row as the client's JSON, nulls included."""
+    return F.to_json(F.struct(*[df[c].alias(camel(c)) for c in columns]), {"ignoreNullFields": "false"})
+
+
 def normalize_filename(x: Column) -> Column:
     """Spaces to underscores, and the last part of a path of either slash."""
     return F.element_at(F.split(F.replace(x, F.lit(" "), F.lit("_")), r"[/\\]"), -1)

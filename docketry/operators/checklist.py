@@ -40,7 +40,7 @@ def unpivoted(listed: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 def order_search(orders: DataFrame, cases: DataFrame, documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Hits first, then at most `limit` of them are joined: their case, folder and six-type checklist."""
-    hits = search(orders, ("so_number",), query, "so_number", limit).drop("created_at")
+    hits = search(orders, ("so_number",), query, "so_number", limit).drop("created_at", "updated_at")
     known = cases.select(F.col("id").alias("_case"), F.col("case_id").alias("case_key"), "opportunity_id", "customer_name")
     # At most `limit` order ids: the documents are filtered to them before they are summed up.
     of_hits = documents.join(F.broadcast(hits.select(F.col("id").alias("_hit"))), documents["sales_order_id"] == F.col("_hit"), "left_semi")
@@ -58,7 +58,7 @@ def case_detail(cases: DataFrame, orders: DataFrame, documents: DataFrame) -> Da
     """Flat: one row per case and order, cases without orders kept."""
     po = customer_po(cases, documents).select(F.col("id").alias("_c"), "po_checksum")
     listed = with_checklist(orders.select("id", F.col("case_id").alias("_case"), "so_number", "so_month"), documents).withColumnRenamed("id", "so_id")
-    return cases.join(po, cases["id"] == F.col("_c"), "left").join(listed, cases["id"] == F.col("_case"), "left").drop("_c", "_case", "notes")
+    return cases.join(po, cases["id"] == F.col("_c"), "left").join(listed, cases["id"] == F.col("_case"), "left").drop("_c", "_case", "notes", "created_at", "updated_at")
 
 
 def nested(detail: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ appended to or written anew; nothing is overwritten in place.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.scalars import case_number, case_suffix, is_month, normalize_opportunity, rotated
+from docketry.functions.scalars import case_number, case_suffix, is_month, normalize_opportunity, rotated, storage_path, stored_filename
 from docketry.sources.tables import CASE_TYPES, ROTATIONS, STATUSES
 
 
@@ -20,10 +20,29 @@ def _first(*rules: tuple[Column, str]) -> Column:
     return reason
 
 
-def _repeated(*keys: str) -> Column:
-    """Whether an earlier request of the batch that is so far accepted has the same keys."""
-    so_far = Window.partitionBy(*keys, F.col("reject_reason").isNull()).orderBy("seq")
-    return F.col("reject_reason").isNull() & (F.row_number().over(so_far) > 1)
+def _without_repeats(judged: DataFrame, why: str, *keys: str) -> DataFrame:
+    """Requests so far accepted are rejected where an earlier one of these has the same keys.
+
+    The first of each key is a minimum that is taken before the shuffle, so no task holds all requests of one key.
+    """
+    first = judged.where("reject_reason is null").groupBy(*keys).agg(F.min("seq").alias("_first")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.equal_null(k, f"_{k}")
+    late = F.col("reject_reason").isNull() & (F.col("seq") > F.col("_first"))
+    return judged.join(first, same, "left").withColumn("reject_reason", F.when(late, why).otherwise(F.col("reject_reason"))).drop("_first", *[f"_{k}" for k in keys])
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with `nth`, from 1 on, by a unique column: ranges of it are counted, and each begins where those before it end.
+
+    A window over a range, not over all rows; the starts are one row for each range.
+    """
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(order)
+    return ranged.join(F.broadcast(starts), "_part").withColumn("nth", F.col("_start") + F.row_number().over(within)).drop("_part", "_start")
 
 
 def create_cases(cases: DataFrame, batch: DataFrame, year: int) -> DataFrame:
@@ -38,12 +57,11 @@ def create_cases(cases: DataFrame, batch: DataFrame, year: int) -> DataFrame:
         (~F.coalesce(F.length("opportunity_id").between(1, 20), F.lit(False)), "opportunity_id"), (F.length("normalized") > 20, "opportunity_id"), (F.col("_taken").isNotNull(), "opportunity exists"),
     )
     judged = wanted.join(taken, "normalized", "left").withColumn("reject_reason", bad).drop("_taken")
-    judged = judged.withColumn("reject_reason", F.when(_repeated("normalized"), "opportunity exists").otherwise(F.col("reject_reason")))
+    judged = _without_repeats(judged, "opportunity exists", "normalized")
     prefix = f"CASE-{year}-"
     largest = cases.where(F.col("case_id").startswith(prefix)).agg(F.coalesce(F.max(case_suffix(F.col("case_id"))), F.lit(0)).alias("_n"))
-    # Consecutive numbers need one order over the batch of requests (not over the state).
-    nth = F.row_number().over(Window.partitionBy(F.col("reject_reason").isNull()).orderBy("seq"))
-    return judged.crossJoin(largest).withColumn("case_id", F.when(F.col("reject_reason").isNull(), case_number(F.lit(prefix), F.col("_n") + nth))).drop("_n")
+    accepted = numbered(judged.where("reject_reason is null").select("seq"), "seq").crossJoin(largest).select(F.col("seq").alias("_seq"), case_number(F.lit(prefix), F.col("_n") + F.col("nth")).alias("case_id"))
+    return judged.join(accepted, F.col("seq") == F.col("_seq"), "left").drop("_seq")
 
 
 def create_sales_orders(cases: DataFrame, orders: DataFrame, batch: DataFrame) -> DataFrame:
@@ -52,21 +70,30 @@ def create_sales_orders(cases: DataFrame, orders: DataFrame, batch: DataFrame) -
     bad = _first(
         (~F.coalesce(F.length("so_number").between(1, 50), F.lit(False)), "so_number"), (~is_month(F.col("so_month")), "so_month"), (F.col("_taken").isNotNull(), "sales order exists"), (F.col("_case").isNull(), "case not found"),
     )
-    judged = wanted.withColumn("reject_reason", bad).drop("_taken", "_case")
-    return judged.withColumn("reject_reason", F.when(_repeated("so_number"), "sales order exists").otherwise(F.col("reject_reason")))
+    return _without_repeats(wanted.withColumn("reject_reason", bad).drop("_taken", "_case"), "sales order exists", "so_number")
 
 
 def upload_documents(cases: DataFrame, orders: DataFrame, documents: DataFrame, batch: DataFrame) -> DataFrame:
     """Requests (seq, case_id, sales_order_id, original_filename, checksum) with reason, checked in the order of the original."""
     known = batch.join(cases.select(F.col("id").alias("case_id"), F.lit(True).alias("_case")), "case_id", "left")
     known = known.join(orders.select(F.col("id").alias("sales_order_id"), F.col("case_id").alias("_owner")), "sales_order_id", "left")
-    known = known.join(documents.select("case_id", "checksum", F.lit(True).alias("_same")).distinct(), ["case_id", "checksum"], "left")
+    # Of the documents only those that the batch asks for are shuffled, where Spark can broadcast the batch's keys.
+    asked = batch.select("case_id", "checksum").distinct()
+    same = documents.select("case_id", "checksum").join(asked, ["case_id", "checksum"], "left_semi").distinct()
+    known = known.join(same.withColumn("_same", F.lit(True)), ["case_id", "checksum"], "left")
     bad = _first(
         (~F.coalesce(F.lower("original_filename").endswith(".pdf"), F.lit(False)), "not a PDF"), (F.col("_case").isNull(), "case not found"), (F.col("sales_order_id").isNull(), "sales order required"),
         (F.col("_owner").isNull(), "sales order not found"), (F.col("_owner") != F.col("case_id"), "sales order of another case"), (F.col("_same").isNotNull(), "duplicate file"),
     )
-    judged = known.withColumn("reject_reason", bad).drop("_case", "_owner", "_same")
-    return judged.withColumn("reject_reason", F.when(_repeated("case_id", "checksum"), "duplicate file").otherwise(F.col("reject_reason")))
+    return _without_repeats(known.withColumn("reject_reason", bad).drop("_case", "_owner", "_same"), "duplicate file", "case_id", "checksum")
+
+
+def acknowledged(judged: DataFrame, orders: DataFrame, cases: DataFrame, base: str) -> DataFrame:
+    """What the caller is told of each accepted upload: (seq, message, filename, storage_path, checksum)."""
+    named = judged.where("reject_reason is null").join(orders.select(F.col("id").alias("sales_order_id"), "so_number", "so_month"), "sales_order_id").join(cases.select(F.col("id").alias("case_id"), F.col("case_id").alias("case_key")), "case_id")
+    stored = stored_filename(F.col("checksum"), F.col("original_filename"))
+    path = storage_path(F.lit(base), F.col("case_key"), F.col("so_month"), F.col("so_number"), F.col("document_type"), stored)
+    return named.select("seq", F.lit("Document uploaded successfully").alias("message"), stored.alias("filename"), path.alias("storage_path"), "checksum")
 
 
 def update_cases(cases: DataFrame, batch: DataFrame) -> DataFrame:
@@ -85,9 +112,14 @@ def update_cases(cases: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.withColumn("reject_reason", bad).select("id", "reject_reason", *new)
 
 
+def judged_turns(batch: DataFrame) -> DataFrame:
+    """A batch with `degrees` and reject_reason: only quarter turns are taken."""
+    return batch.withColumn("reject_reason", _first((~F.coalesce(F.col("degrees").isin(*ROTATIONS), F.lit(False)), "rotation")))
+
+
 def rotate(documents: DataFrame, batch: DataFrame, key: str = "checksum") -> DataFrame:
-    """Documents with the batch's (key, degrees) added up; degrees other than quarter turns don't count."""
-    turns = batch.where(F.col("degrees").isin(*ROTATIONS)).groupBy(key).agg(F.sum("degrees").alias("_d"))
+    """Documents with the accepted turns of the batch's (key, degrees) added up; judged_turns tells the others."""
+    turns = judged_turns(batch).where("reject_reason is null").groupBy(key).agg(F.sum("degrees").alias("_d"))
     return documents.join(turns, key, "left").withColumn("rotation", F.when(F.col("_d").isNotNull(), rotated(F.col("rotation"), F.col("_d")).cast("int")).otherwise(F.col("rotation"))).drop("_d")
 
 
@@ -115,6 +147,6 @@ def orphans(orders: DataFrame, documents: DataFrame, cases: DataFrame) -> DataFr
     return lost_orders.crossJoin(lost)
 
 
-def audit_rows(accepted: DataFrame, action: str, actor: Column, details: list[str]) -> DataFrame:
-    """(seq, action, actor, details) of accepted requests, details as JSON."""
-    return accepted.where("reject_reason is null").select("seq", F.lit(action).alias("action"), actor.alias("actor"), F.to_json(F.struct(*details)).alias("details"))
+def audit_rows(accepted: DataFrame, action: str, actor: Column, details: list[str | Column], **ids: Column) -> DataFrame:
+    """(seq, action, actor, details) of accepted requests, details as JSON, with what `ids` names of case_id, document_id and sales_order_id."""
+    return accepted.where("reject_reason is null").select("seq", F.lit(action).alias("action"), actor.alias("actor"), F.to_json(F.struct(*details)).alias("details"), *[c.alias(name) for name, c in ids.items()])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docketry.functions.scalars import normalize_opportunity
 
-#: Rows that a search returns.
-SEARCH_LIMIT = 20
+#: Rows that a search returns, and the shortest query that the client sends for cases and for orders.
+SEARCH_LIMIT, LEAST_CASE_QUERY, LEAST_ORDER_QUERY = 20, 2, 3
 
 
 def by_key(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -33,6 +33,11 @@ def search(df: DataFrame, columns: tuple[str, ...], query: str, order: str, limi
     return df.where(hit).orderBy(order).limit(limit)
 
 
+def long_enough(df: DataFrame, query: str, least: int) -> DataFrame:
+    """df, or nothing where the query has fewer characters than a search asks for."""
+    return df if len(query) >= least else df.limit(0)
+
+
 def global_search(cases: DataFrame, orders: DataFrame, query: str, kind: str) -> DataFrame:
     """Cases by opportunity or sales orders by number; any other kind finds nothing."""
     if kind == "opportunity":
@@ -66,12 +71,23 @@ def documents_of_case(documents: DataFrame, orders: DataFrame, case_id: int, sal
     if kind:
         found = found.where(F.col("document_type") == kind)
     if month:
-        of_month = orders.where((F.col("case_id") == case_id) & (F.col("so_month") == month)).select(F.col("id").alias("_order")).withColumn("_hit", F.lit(True))
-        joined = found.join(of_month, found["sales_order_id"] == F.col("_order"), "left")
-        found = joined.where(F.col("_hit").isNotNull() | (F.col("document_type") == "CUSTOMER_PO")).drop("_order", "_hit")
+        found = _of_orders(found, orders.where((F.col("case_id") == case_id) & (F.col("so_month") == month)))
     return found.orderBy(F.desc_nulls_first("uploaded_at"), "checksum")
 
 
+def documents_of_months(documents: DataFrame, orders: DataFrame, case_id: int, months: DataFrame) -> DataFrame:
+    """documents_of_case for the months of a table with the column so_month."""
+    of_months = orders.where(F.col("case_id") == case_id).join(months, "so_month", "left_semi")
+    return _of_orders(documents.where(F.col("case_id") == case_id), of_months).orderBy(F.desc_nulls_first("uploaded_at"), "checksum")
+
+
+def _of_orders(documents: DataFrame, orders: DataFrame) -> DataFrame:
+    """Documents of the orders, and every customer PO."""
+    hit = orders.select(F.col("id").alias("_order"), F.lit(True).alias("_hit"))
+    joined = documents.join(hit, documents["sales_order_id"] == F.col("_order"), "left")
+    return joined.where(F.col("_hit").isNotNull() | (F.col("document_type") == "CUSTOMER_PO")).drop("_order", "_hit")
+
+
 def documents_by_case_key(documents: DataFrame, cases: DataFrame, case_key: str) -> DataFrame:
     ids = cases.where(F.col("case_id") == case_key).select(F.col("id").alias("_case"))
     return documents.join(ids, documents["case_id"] == F.col("_case")).drop("_case")

@@ -18,3 +18,10 @@ def page_window(logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) ->
     total = logs.agg(F.count("*").alias("total"))
     last = F.least(F.lit(offset + limit).cast("long"), F.col("total"))
     return total.select("total", F.lit(offset + 1).cast("long").alias("first"), last.alias("last"), F.lit(offset > 0).alias("has_previous"), (F.lit(offset + limit) < F.col("total")).alias("has_next"))
+
+
+def envelope(logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """One row: total, limit, offset, and the page's rows as an array of structs in its order. A page has MOST rows at most."""
+    order = F.struct(F.col("created_at"), F.col("id"))
+    page = audit_page(logs, limit, offset).agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), F.struct("*").alias("log"))), asc=False)["log"].alias("logs"))
+    return logs.agg(F.count("*").alias("total")).crossJoin(page).select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), "logs")

@@ -14,13 +14,12 @@ from docketry.operators import checklist as K
 from docketry.operators import commands as C
 from docketry.operators import lookups as L
 from docketry.operators import paging as P
-from docketry.sources.tables import DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
+from docketry.sources.tables import BASE, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Time is an argument, never the clock.
 AS_OF, YEAR = "2001-11-04", 2026
-BASE = "/data/cases"
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -31,23 +30,30 @@ cases AS (
   SELECT c_custkey AS id, 'CASE-2026-' || CASE WHEN c_custkey < 10000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END AS case_id,
     'SKY-' || CAST(c_custkey AS VARCHAR) AS opportunity_id, c_name AS customer_name,
     CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'FURNITURE', 'MACHINERY') THEN 'HARDWARE' ELSE 'SERVICES' END AS case_type,
-    CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'OPEN' WHEN c_custkey % 3 = 1 THEN 'IN_PROGRESS' ELSE 'CLOSED' END AS status, CAST(NULL AS VARCHAR) AS notes
+    CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'OPEN' WHEN c_custkey % 3 = 1 THEN 'IN_PROGRESS' ELSE 'CLOSED' END AS status, CAST(NULL AS VARCHAR) AS notes,
+    CAST(DATE '2026-01-01' + CAST(c_custkey % 300 AS INTEGER) AS TIMESTAMP) AS created_at, CASE WHEN c_custkey % 4 <> 0 THEN CAST(DATE '2026-01-01' + CAST(c_custkey % 300 + c_custkey % 9 AS INTEGER) AS TIMESTAMP) END AS updated_at
   FROM customer),
 sales_orders AS (
-  SELECT o_orderkey AS id, o_custkey AS case_id, '10TM' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS so_number, substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS so_month, o_orderdate AS created_at
+  SELECT o_orderkey AS id, o_custkey AS case_id, '10TM' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS so_number, substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS so_month, o_orderdate AS created_at,
+    CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP) END AS updated_at
   FROM orders),
 doc_kinds AS (
   SELECT *, CASE l_linenumber WHEN 2 THEN 'VENDOR_INVOICE' WHEN 3 THEN 'VENDOR_DC' WHEN 4 THEN 'COMPANY_INVOICE' WHEN 5 THEN 'COMPANY_DC' WHEN 6 THEN 'POD' ELSE 'CUSTOMER_PO' END AS kind
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-doc_files AS (
-  SELECT o_custkey AS case_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS sales_order_id, kind AS document_type,
+doc_rows AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, o_custkey AS case_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS sales_order_id, kind AS document_type,
     lower(kind) || ' ' || CAST(l_linenumber AS VARCHAR) || '.pdf' AS original_filename, CASE WHEN l_linenumber % 2 = 0 THEN 'REF-' || CAST(l_partkey AS VARCHAR) END AS reference_number,
     sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
       CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR), l_returnflag, l_linestatus, substr(CAST(l_shipdate AS VARCHAR), 1, 10))) AS checksum,
     CAST(floor(l_extendedprice) AS INTEGER) AS file_size, CAST((l_linenumber % 4) * 90 AS INTEGER) AS rotation, l_shipdate AS uploaded_at, 'Anonymous' AS uploaded_by
   FROM doc_kinds),
+doc_names AS (SELECT *, CAST('0x' || substr(checksum, 1, 15) AS BIGINT) AS id, substr(md5(checksum), 1, 8) || '_' || replace(original_filename, ' ', '_') AS filename FROM doc_rows),
+doc_files AS (
+  SELECT * EXCLUDE (o_orderkey, o_custkey, o_orderdate), '/data/cases/CASE-2026-' || CASE WHEN o_custkey < 10000 THEN lpad(CAST(o_custkey AS VARCHAR), 4, '0') ELSE CAST(o_custkey AS VARCHAR) END || '/' || substr(CAST(o_orderdate AS VARCHAR), 1, 7)
+    || '/SO-10TM' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '/' || document_type || '/' || filename AS storage_path
+  FROM doc_names),
 audit_logs AS (
-  SELECT event_id AS id, user_id AS case_id, 'DOCUMENT_' || upper(event_type) AS action, 'user_' || CAST(user_id AS VARCHAR) AS actor, props AS details, ts AS created_at FROM events)
+  SELECT event_id AS id, user_id AS case_id, CASE WHEN event_id % 3 <> 0 THEN event_id + 7 END AS document_id, CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS sales_order_id, 'DOCUMENT_' || upper(event_type) AS action, 'user_' || CAST(user_id AS VARCHAR) AS actor, props AS details, ts AS created_at FROM events)
 """
 
 
@@ -78,14 +84,31 @@ def oracle_sql() -> dict[str, str]:
 _AT = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 _AT_SQL = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
 _CASE, _DOC = ("id", "case_id", "opportunity_id", "customer_name", "case_type", "status", "notes"), ("case_id", "sales_order_id", "document_type", "original_filename", "reference_number", "file_size", "rotation")
-register("scan_cases", f"SELECT {', '.join(_CASE)} FROM cases", lambda s, d: cases(s, d).select(*_CASE))
-register("scan_sales_orders", f"SELECT id, case_id, so_number, so_month, {_AT_SQL('created_at')} FROM sales_orders", lambda s, d: sales_orders(s, d).select("id", "case_id", "so_number", "so_month", _AT("created_at")))
-register("scan_doc_files", f"SELECT {', '.join(_DOC)}, checksum, {_AT_SQL('uploaded_at')}, uploaded_by FROM doc_files", lambda s, d: doc_files(s, d).select(*_DOC, "checksum", _AT("uploaded_at"), "uploaded_by"))
-register("scan_audit_logs", f"SELECT id, case_id, action, actor, details, {_AT_SQL('created_at')} FROM audit_logs", lambda s, d: audit_logs(s, d).select("id", "case_id", "action", "actor", "details", _AT("created_at")))
-register("proj_case_response", f"SELECT {', '.join(_CASE[:6])} FROM cases", lambda s, d: cases(s, d).select(*_CASE[:6]))
-register("proj_document_response", f"SELECT {', '.join(_DOC)}, {_AT_SQL('uploaded_at')}, uploaded_by FROM doc_files", lambda s, d: doc_files(s, d).drop("checksum").select(*_DOC, _AT("uploaded_at"), "uploaded_by"))
+register("scan_cases", f"SELECT {', '.join(_CASE)}, {_AT_SQL('created_at')}, {_AT_SQL('updated_at')} FROM cases", lambda s, d: cases(s, d).select(*_CASE, _AT("created_at"), _AT("updated_at")))
+register("scan_sales_orders", f"SELECT id, case_id, so_number, so_month, {_AT_SQL('created_at')}, {_AT_SQL('updated_at')} FROM sales_orders", lambda s, d: sales_orders(s, d).select("id", "case_id", "so_number", "so_month", _AT("created_at"), _AT("updated_at")))
+register("scan_doc_files", f"SELECT id, filename, storage_path, {', '.join(_DOC)}, checksum, {_AT_SQL('uploaded_at')}, uploaded_by FROM doc_files", lambda s, d: doc_files(s, d).select("id", "filename", "storage_path", *_DOC, "checksum", _AT("uploaded_at"), "uploaded_by"))
+register("scan_audit_logs", f"SELECT id, case_id, document_id, sales_order_id, action, actor, details, {_AT_SQL('created_at')} FROM audit_logs", lambda s, d: audit_logs(s, d).select("id", "case_id", "document_id", "sales_order_id", "action", "actor", "details", _AT("created_at")))
+register("proj_case_response", f"SELECT {', '.join(_CASE)}, {_AT_SQL('created_at')}, {_AT_SQL('updated_at')} FROM cases", lambda s, d: cases(s, d).select(*_CASE, _AT("created_at"), _AT("updated_at")))
+register("proj_document_response", f"SELECT id, filename, storage_path, {', '.join(_DOC)}, {_AT_SQL('uploaded_at')}, uploaded_by FROM doc_files", lambda s, d: doc_files(s, d).drop("checksum").select("id", "filename", "storage_path", *_DOC, _AT("uploaded_at"), "uploaded_by"))
+
+
+def _json(name: str, view: str, table: Query, columns: tuple[str, ...], times: tuple[str, ...] = ()) -> None:
+    """The client's JSON of every row of a table, with the names that it gives the columns."""
+    packed = ", ".join([f"{S.camel(c)} := {c}" for c in columns] + [f"{S.camel(c)} := strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in times])
+    shown = lambda s, d: table(s, d).select(*columns, *[_AT(c) for c in times])
+    register(name, f"SELECT id, CAST(to_json(struct_pack({packed})) AS VARCHAR) AS body FROM {view}", lambda s, d: (df := shown(s, d)).select("id", S.response_json(df, *df.columns).alias("body")))
+
+
+_json("json_cases", "cases", cases, _CASE, ("created_at", "updated_at"))
+_json("json_sales_orders", "sales_orders", sales_orders, ("id", "case_id", "so_number", "so_month"), ("created_at", "updated_at"))
+_json("json_documents", "doc_files", doc_files, ("id", "case_id", "sales_order_id", "document_type", "filename", "original_filename", "reference_number", "storage_path", "file_size", "rotation", "uploaded_by"), ("uploaded_at",))
+_json("json_audit_logs", "audit_logs", audit_logs, ("id", "case_id", "document_id", "sales_order_id", "action", "actor", "details"), ("created_at",))
 
 # Scalars, over whole tables.
+register(
+    "input_trim", "SELECT id, n, trim(raw, ' ' || chr(9)) AS name, nullif(trim(raw, ' ' || chr(9)), '') AS notes FROM (SELECT id, 0 AS n, '  ' || customer_name || chr(9) AS raw FROM cases UNION ALL SELECT id, 1, ' ' FROM cases)",
+    lambda s, d: cases(s, d).select("id", F.posexplode(F.array(F.concat(F.lit("  "), F.col("customer_name"), F.lit("\t")), F.lit(" "))).alias("n", "raw")).select("id", "n", S.strip(F.col("raw")).alias("name"), S.optional(F.col("raw")).alias("notes")),
+)
 register(
     "normalize_opp",
     r"""SELECT id, n, CASE WHEN raw = '' THEN raw WHEN regexp_full_match(v, '\d+') THEN 'SKY-' || v WHEN regexp_full_match(v, 'SKY\d+') THEN 'SKY-' || substr(v, 4) ELSE v END AS normalized
@@ -166,17 +189,17 @@ register(
 
 # Filters, lookups and searches.
 _SO, _SO_COLS = "id, case_id, so_number, so_month", ("id", "case_id", "so_number", "so_month")
-register("case_by_key", "SELECT * FROM cases WHERE case_id = 'CASE-2026-0042'", lambda s, d: L.by_key(cases(s, d), "case_id", "CASE-2026-0042"))
-register("case_by_id", "SELECT * FROM cases WHERE id = 42", lambda s, d: L.by_key(cases(s, d), "id", 42))
-register("case_by_opportunity", "SELECT * FROM cases WHERE opportunity_id = 'SKY-42'", lambda s, d: L.case_by_opportunity(cases(s, d), " sky42"))
+register("case_by_key", f"SELECT {', '.join(_CASE)} FROM cases WHERE case_id = 'CASE-2026-0042'", lambda s, d: L.by_key(cases(s, d), "case_id", "CASE-2026-0042").select(*_CASE))
+register("case_by_id", f"SELECT {', '.join(_CASE)} FROM cases WHERE id = 42", lambda s, d: L.by_key(cases(s, d), "id", 42).select(*_CASE))
+register("case_by_opportunity", f"SELECT {', '.join(_CASE)} FROM cases WHERE opportunity_id = 'SKY-42'", lambda s, d: L.case_by_opportunity(cases(s, d), " sky42").select(*_CASE))
 register("so_by_id", f"SELECT {_SO} FROM sales_orders WHERE id = 77", lambda s, d: L.by_key(sales_orders(s, d), "id", 77).select(*_SO_COLS))
 register("so_by_number", f"SELECT {_SO} FROM sales_orders WHERE so_number = '10TM0000000077'", lambda s, d: L.by_key(sales_orders(s, d), "so_number", "10TM0000000077").select(*_SO_COLS))
-_FIRST = "SELECT min(checksum) AS c FROM doc_files"
-register("document_by_id", f"SELECT {', '.join(_DOC)}, checksum FROM doc_files WHERE checksum = ({_FIRST})", lambda s, d: doc_files(s, d).join(doc_files(s, d).agg(F.min("checksum").alias("_c")), F.col("checksum") == F.col("_c")).select(*_DOC, "checksum"))
-register("search_opportunity", "SELECT * FROM cases WHERE opportunity_id ILIKE '%ky-1%' ORDER BY opportunity_id LIMIT 20", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "ky-1", "opportunity"))
+_FIRST = "SELECT min(id) AS c FROM doc_files"
+register("document_by_id", f"SELECT id, filename, storage_path, {', '.join(_DOC)}, checksum FROM doc_files WHERE id = ({_FIRST})", lambda s, d: doc_files(s, d).join(doc_files(s, d).agg(F.min("id").alias("_c")), F.col("id") == F.col("_c")).select("id", "filename", "storage_path", *_DOC, "checksum"))
+register("search_opportunity", f"SELECT {', '.join(_CASE)} FROM cases WHERE opportunity_id ILIKE '%ky-1%' ORDER BY opportunity_id LIMIT 20", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "ky-1", "opportunity").select(*_CASE))
 register("search_so_global", f"SELECT {_SO} FROM sales_orders WHERE so_number ILIKE '%tm%12%' ORDER BY so_number LIMIT 20", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "tm%12", "sales_order").select(*_SO_COLS))
-register("search_unknown_type", "SELECT * FROM cases WHERE false", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "x", "other"))
-register("search_cases_any", "SELECT * FROM cases WHERE opportunity_id ILIKE '%99%' OR customer_name ILIKE '%99%' OR case_id ILIKE '%99%' ORDER BY case_id LIMIT 20", lambda s, d: L.search(cases(s, d), ("opportunity_id", "customer_name", "case_id"), "99", "case_id"))
+register("search_unknown_type", f"SELECT {', '.join(_CASE)} FROM cases WHERE false", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "x", "other").select(*_CASE))
+register("search_cases_any", f"SELECT {', '.join(_CASE)} FROM cases WHERE opportunity_id ILIKE '%99%' OR customer_name ILIKE '%99%' OR case_id ILIKE '%99%' ORDER BY case_id LIMIT 20", lambda s, d: L.search(cases(s, d), ("opportunity_id", "customer_name", "case_id"), "99", "case_id").select(*_CASE))
 register("so_for_case", f"SELECT {_SO} FROM sales_orders WHERE case_id = 42 ORDER BY so_month, so_number", lambda s, d: L.orders_of_case(sales_orders(s, d), 42).select(*_SO_COLS))
 register("so_sidebar_search", f"SELECT {_SO} FROM sales_orders WHERE contains(lower(so_number), '10tm00000001')", lambda s, d: L.sidebar_search(sales_orders(s, d), "10TM00000001").select(*_SO_COLS))
 _LOG, _LOG_COLS = f"id, case_id, action, actor, details, {_AT_SQL('created_at')}", ("id", "case_id", "action", "actor", "details")
@@ -213,14 +236,20 @@ register(
 
 
 def _docs_last_month(s: SparkSession, d: str) -> DataFrame:
-    """The documents of a case in its last month; the month is looked up first, as a caller would."""
-    month = sales_orders(s, d).where("case_id = 42").agg(F.max("so_month")).first()[0]
-    return L.documents_of_case(doc_files(s, d), sales_orders(s, d), 42, month=month).select(*_DOC, "checksum", _AT("uploaded_at"))
+    """The documents of a case in its last month."""
+    month = sales_orders(s, d).where("case_id = 42").agg(F.max("so_month").alias("so_month"))
+    return L.documents_of_months(doc_files(s, d), sales_orders(s, d), 42, month).select(*_DOC, "checksum", _AT("uploaded_at"))
 
 
 # Pages.
 register("audit_page", f"SELECT {_LOG.replace('AS created_at', 'AS created_at')} FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET 100)", lambda s, d: P.audit_page(audit_logs(s, d), 50, 100).select(*_LOG_COLS, _AT("created_at")))
 register("audit_page_window", "SELECT count(*) AS total, CAST(101 AS BIGINT) AS first, least(150, count(*)) AS last, true AS has_previous, 150 < count(*) AS has_next FROM audit_logs", lambda s, d: P.page_window(audit_logs(s, d), 50, 100))
+_ENTRY = "id := id, case_id := case_id, document_id := document_id, sales_order_id := sales_order_id, action := action, actor := actor, details := details, created_at := strftime(created_at, '%Y-%m-%d %H:%M:%S')"
+register(
+    "audit_envelope", f"""SELECT (SELECT count(*) FROM audit_logs) AS total, 50 AS "limit", 100 AS "offset", CAST(to_json(list(struct_pack({_ENTRY}) ORDER BY created_at DESC, id DESC)) AS VARCHAR) AS logs
+    FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET 100)""",
+    lambda s, d: P.envelope(audit_logs(s, d).select("id", "case_id", "document_id", "sales_order_id", "action", "actor", "details", "created_at"), 50, 100).withColumn("logs", F.to_json(F.transform("logs", lambda x: x.withField("created_at", F.date_format(x["created_at"], "yyyy-MM-dd HH:mm:ss"))), {"ignoreNullFields": "false"})),
+)
 
 # Integrity and commands. Batches are made from the tables, so that they grow with them.
 register("duplicate_files", "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1", lambda s, d: raw(s, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("checksum")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"))
@@ -285,6 +314,16 @@ r AS (SELECT b.*, CASE WHEN txt THEN 'not a PDF' WHEN c.id IS NULL THEN 'case no
   FROM b LEFT JOIN cases c ON c.id = b.case_id LEFT JOIN sales_orders s ON s.id = so)
 SELECT seq, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reject_reason FROM r"""
 
+register(
+    "upload_acknowledgement", "", lambda s, d: C.acknowledged(_uploads(s, d).withColumn("document_type", F.lit("POD")), sales_orders(s, d), cases(s, d), BASE),
+)
+_SQL["upload_acknowledgement"] = f"""{_SQL["cmd_upload_documents"].rpartition("SELECT seq, CASE")[0]}, a AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reason FROM r)
+SELECT seq, 'Document uploaded successfully' AS message, substr(md5(a.checksum), 1, 8) || '_a.PDF' AS filename, '{BASE}/' || c.case_id || '/' || s.so_month || '/SO-' || s.so_number || '/POD/' || substr(md5(a.checksum), 1, 8) || '_a.PDF' AS storage_path, a.checksum
+FROM a JOIN sales_orders s ON s.id = a.so JOIN cases c ON c.id = a.case_id WHERE reason IS NULL"""
+register("cmd_audit_uploads", "", lambda s, d: C.audit_rows(_uploads(s, d), "DOCUMENT_UPLOADED", F.lit("Anonymous"), ["original_filename", "checksum"], sales_order_id=F.col("sales_order_id")))
+_SQL["cmd_audit_uploads"] = f"""{_SQL["cmd_upload_documents"].rpartition("SELECT seq, CASE")[0]}, a AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reason FROM r)
+SELECT seq, 'DOCUMENT_UPLOADED' AS action, 'Anonymous' AS actor, '{{"original_filename":"' || CASE WHEN txt THEN 'a.txt' ELSE 'a.PDF' END || '","checksum":"' || checksum || '"}}' AS details, so AS sales_order_id FROM a WHERE reason IS NULL"""
+
 
 def _patches(s: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey")
@@ -299,6 +338,16 @@ register("cmd_update_cases", "", _patches)
 _SQL["cmd_update_cases"] = f"""WITH {_VIEWS}, b AS (SELECT s_suppkey AS k, s_suppkey % 4 = 0 AS set_status, s_suppkey % 4 = 1 AS set_name, s_suppkey % 4 > 1 AS set_rest, CASE WHEN s_suppkey % 8 <> 1 THEN s_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'OTHER' ELSE 'SERVICES' END AS kind, CASE WHEN s_suppkey % 8 <> 0 THEN CASE WHEN s_suppkey % 12 = 0 THEN 'LOST' ELSE 'CLOSED' END END AS st FROM supplier),
 r AS (SELECT b.*, c.customer_name, c.case_type, c.status, c.notes, CASE WHEN c.id IS NULL THEN 'case not found' WHEN set_name AND name IS NULL THEN 'customer_name' WHEN set_rest AND kind = 'OTHER' THEN 'case_type' WHEN set_status AND st = 'LOST' THEN 'status' END AS reject_reason FROM b LEFT JOIN cases c ON c.id = k)
 SELECT k AS id, reject_reason, CASE WHEN set_name AND reject_reason IS NULL THEN name ELSE customer_name END AS new_customer_name, CASE WHEN set_rest AND reject_reason IS NULL THEN kind ELSE case_type END AS new_case_type, CASE WHEN set_status AND reject_reason IS NULL THEN st ELSE status END AS new_status, CASE WHEN set_rest AND reject_reason IS NULL THEN 'note' ELSE notes END AS new_notes FROM r"""
+register("cmd_audit_updates", "", lambda s, d: C.audit_rows(_patches(s, d).withColumn("seq", F.col("id")), "CASE_UPDATED", F.lit("System"), ["new_case_type"], case_id=F.col("id")))
+_SQL["cmd_audit_updates"] = f"""{_SQL["cmd_update_cases"].rpartition("SELECT k AS id")[0]} SELECT k AS seq, 'CASE_UPDATED' AS action, 'System' AS actor, '{{"new_case_type":"' || CASE WHEN set_rest THEN kind ELSE case_type END || '"}}' AS details, k AS case_id FROM r WHERE reject_reason IS NULL"""
+register(
+    "cmd_rotate_documents", "SELECT id, n, CASE WHEN deg NOT IN (0, 90, 180, 270) THEN 'rotation' END AS reject_reason FROM (SELECT id, unnest([0, 1]) AS n, unnest([90, file_size % 100]) AS deg FROM doc_files)",
+    lambda s, d: C.judged_turns(doc_files(s, d).select("id", F.posexplode(F.array(F.lit(90), F.col("file_size") % 100)).alias("n", "degrees"))).select("id", "n", "reject_reason"),
+)
+register(
+    "cmd_audit_deletes", "SELECT id AS seq, 'DOCUMENT_DELETED' AS action, 'System' AS actor, '{\"document_type\":\"POD\",\"checksum\":\"' || checksum || '\"}' AS details, case_id, sales_order_id FROM doc_files WHERE document_type = 'POD' AND rotation = 180",
+    lambda s, d: C.audit_rows(doc_files(s, d).where("document_type = 'POD' and rotation = 180").withColumns({"seq": F.col("id"), "reject_reason": F.lit(None).cast("string")}), "DOCUMENT_DELETED", F.lit("System"), ["document_type", "checksum"], case_id=F.col("case_id"), sales_order_id=F.col("sales_order_id")),
+)
 register("cmd_delete_documents", "SELECT checksum FROM doc_files WHERE NOT (document_type = 'POD' AND rotation = 180)", lambda s, d: C.delete(doc_files(s, d), doc_files(s, d).where("document_type = 'POD' and rotation = 180").select("checksum"), "checksum").select("checksum"))
 register("cmd_audit_rows", "", lambda s, d: C.audit_rows(_new_cases(s, d), "CASE_CREATED", F.lit("System"), ["case_id", F.col("normalized").alias("opportunity_id")]))
 _SQL["cmd_audit_rows"] = f"""WITH {_VIEWS}, {_NEW_CASES.rpartition("SELECT seq, normalized")[0]}

@@ -18,11 +18,24 @@ def located(files: DataFrame) -> DataFrame:
     return files.withColumns({name: F.regexp_extract("path", at, i + 1) for i, name in enumerate(("case_id", "so_month", "so_number", "document_type"))})
 
 
-def content(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Documents that have a file at their storage_path, with its content, sha-256 and the two download headers."""
+def content(documents: DataFrame, files: DataFrame, strict: bool = True) -> DataFrame:
+    """Documents with the content of the file at their storage_path, its sha-256, rotation_header and the two download headers.
+
+    A document whose file is missing ends the query with an error; without `strict` its content is null.
+    """
     stored = files.select(F.regexp_replace("path", "^file:/+", "/").alias("storage_path"), "content", "length")
     named = lambda kind: F.concat(F.lit(f'{kind}; filename="'), F.col("original_filename"), F.lit('"'))
-    return documents.join(stored, "storage_path").withColumns({"sha256": F.sha2("content", 256), "inline": named("inline"), "attachment": named("attachment")})
+    joined = documents.join(stored, "storage_path", "left")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("file not found: "), F.coalesce("storage_path", F.lit("no path")))).cast("binary")
+        joined = joined.withColumn("content", F.when(F.col("content").isNull(), missing).otherwise(F.col("content")))
+    turned = F.coalesce(F.col("rotation"), F.lit(0)).cast("string") if "rotation" in documents.columns else F.lit("0")
+    return joined.withColumns({"sha256": F.sha2("content", 256), "rotation_header": turned, "inline": named("inline"), "attachment": named("attachment")})
+
+
+def content_of(documents: DataFrame, files: DataFrame, document_id: int) -> DataFrame:
+    """`content` of one document, by its id."""
+    return content(documents.where(F.col("id") == document_id).limit(1), files)
 
 
 def present(documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,7 +66,10 @@ def delete(documents: DataFrame) -> None:
     documents.select("storage_path").foreachPartition(remove)
 
 
-def jdbc(spark: SparkSession, url: str, name: str, partition_column: str = "id", bounds: tuple[int, int] = (0, 1 << 31), partitions: int = 30) -> DataFrame:
-    """A table of the operational database, read in ranges of its key."""
-    options = {"url": url, "dbtable": name, "partitionColumn": partition_column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions}
-    return spark.read.format("jdbc").options(**{k: str(v) for k, v in options.items()}).load()
+def jdbc(spark: SparkSession, url: str, name: str, partition_column: str = "id", bounds: tuple[int, int] = (0, 1 << 31), partitions: int = 30, **options: str) -> DataFrame:
+    """A table of the operational database, read in ranges of its key, so many at a time.
+
+    options are the source's own: user, password, driver, fetchsize (10000 unless given), queryTimeout.
+    """
+    known = {"url": url, "dbtable": name, "partitionColumn": partition_column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions, "fetchsize": 10000} | options
+    return spark.read.format("jdbc").options(**{k: str(v) for k, v in known.items()}).load()

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.scalars import file_id, storage_path, stored_filename
+
 # Fixed values of the data model.
 CASE_TYPES = ("HARDWARE", "SERVICES")
 STATUSES = ("OPEN", "IN_PROGRESS", "CLOSED")
@@ -13,18 +15,22 @@ ORDER_TYPES = DOCUMENT_TYPES[1:]
 ROTATIONS = (0, 90, 180, 270)
 
 
-def _schema(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
-    return T.StructType([T.StructField(*f) for f in fields])
+# Columns of the four tables, in order; a ? marks those that may be null.
+CASES = "id long, case_id string, opportunity_id string, customer_name string, case_type string, status string?, notes string?, created_at timestamp_ntz?, updated_at timestamp_ntz?"
+SALES_ORDERS = "id long, case_id long, so_number string, so_month string, created_at timestamp_ntz?, updated_at timestamp_ntz?"
+DOC_FILES = (
+    "id long, case_id long, sales_order_id long?, document_type string, filename string, original_filename string, reference_number string?, storage_path string, checksum string, file_size int, rotation int?, "
+    "uploaded_at timestamp_ntz?, uploaded_by string?"
+)
+AUDIT_LOGS = "id long, case_id long?, document_id long?, sales_order_id long?, action string, actor string, details string?, created_at timestamp_ntz?"
+#: Where the derived documents are filed.
+BASE = "/data/cases"
 
 
-_LONG, _TEXT, _TIME = T.LongType(), T.StringType(), T.TimestampNTZType()
-CASES = _schema(("id", _LONG, False), ("case_id", _TEXT, False), ("opportunity_id", _TEXT, False), ("customer_name", _TEXT, False), ("case_type", _TEXT, False), ("status", _TEXT, True), ("notes", _TEXT, True))
-SALES_ORDERS = _schema(("id", _LONG, False), ("case_id", _LONG, False), ("so_number", _TEXT, False), ("so_month", _TEXT, False), ("created_at", _TIME, True))
-DOC_FILES = _schema(
-    ("case_id", _LONG, False), ("sales_order_id", _LONG, True), ("document_type", _TEXT, False), ("original_filename", _TEXT, False), ("reference_number", _TEXT, True),
-    ("checksum", _TEXT, False), ("file_size", T.IntegerType(), False), ("rotation", T.IntegerType(), True), ("uploaded_at", _TIME, True), ("uploaded_by", _TEXT, True),
-)
-AUDIT_LOGS = _schema(("id", _LONG, False), ("case_id", _LONG, True), ("action", _TEXT, False), ("actor", _TEXT, False), ("details", _TEXT, True), ("created_at", _TIME, True))
+def schema(columns: str) -> T.StructType:
+    """The schema that a table is created and read with."""
+    fields = [c.strip().rsplit(" ", 1) for c in columns.split(",")]
+    return T.StructType([T.StructField(name, T._parse_datatype_string(kind.rstrip("?")), kind.endswith("?")) for name, kind in fields])
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +41,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     number = F.when(key < 10000, F.lpad(key.cast("string"), 4, "0")).otherwise(key.cast("string"))
     status = F.when(key % 50 == 0, None).when(key % 3 == 0, "OPEN").when(key % 3 == 1, "IN_PROGRESS").otherwise("CLOSED")
+    created = F.dateadd(F.lit("2026-01-01").cast("date"), (key % 300).cast("int")).cast("timestamp_ntz")
     return raw(spark, sf_dir, "customer").select(
         key.alias("id"), F.concat(F.lit("CASE-2026-"), number).alias("case_id"), F.concat(F.lit("SKY-"), key.cast("string")).alias("opportunity_id"), F.col("c_name").alias("customer_name"),
         F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "FURNITURE", "MACHINERY"), "HARDWARE").otherwise("SERVICES").alias("case_type"), status.alias("status"), F.lit(None).cast("string").alias("notes"),
+        created.alias("created_at"), F.when(key % 4 != 0, F.dateadd(created, (key % 9).cast("int")).cast("timestamp_ntz")).alias("updated_at"),
     )
 
 
@@ -46,6 +54,7 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select(
         key.alias("id"), F.col("o_custkey").alias("case_id"), F.concat(F.lit("10TM"), F.lpad(key.cast("string"), 10, "0")).alias("so_number"),
         F.substring(F.col("o_orderdate").cast("string"), 1, 7).alias("so_month"), F.col("o_orderdate").alias("created_at"),
+        F.when(key % 2 == 0, F.dateadd(F.col("o_orderdate"), 1).cast("timestamp_ntz")).alias("updated_at"),
     )
 
 
@@ -55,18 +64,23 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
     parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
     parts += [cents(c) for c in ("l_extendedprice", "l_discount", "l_tax")] + [F.col("l_returnflag"), F.col("l_linestatus"), F.substring(F.col("l_shipdate").cast("string"), 1, 10)]
-    owners = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    owners = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     checksum = F.sha2(F.concat_ws("|", *parts), 256)
     joined = raw(spark, sf_dir, "lineitem").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
-        F.col("o_custkey").alias("case_id"), F.when(line != 7, F.col("l_orderkey")).alias("sales_order_id"), kind.alias("document_type"),
-        F.concat(F.lower(kind), F.lit(" "), line.cast("string"), F.lit(".pdf")).alias("original_filename"), F.when(line % 2 == 0, F.concat(F.lit("REF-"), F.col("l_partkey").cast("string"))).alias("reference_number"),
-        checksum.alias("checksum"), F.floor("l_extendedprice").cast("int").alias("file_size"), ((line % 4) * 90).cast("int").alias("rotation"), F.col("l_shipdate").alias("uploaded_at"), F.lit("Anonymous").alias("uploaded_by"),
+    order, customer = F.col("l_orderkey"), F.col("o_custkey")
+    case_key = F.concat(F.lit("CASE-2026-"), F.when(customer < 10000, F.lpad(customer.cast("string"), 4, "0")).otherwise(customer.cast("string")))
+    number, month = F.concat(F.lit("10TM"), F.lpad(order.cast("string"), 10, "0")), F.substring(F.col("o_orderdate").cast("string"), 1, 7)
+    name = F.concat(F.lower(kind), F.lit(" "), line.cast("string"), F.lit(".pdf"))
+    stored = stored_filename(F.col("checksum"), name)
+    return joined.withColumn("checksum", checksum).select(
+        file_id(F.col("checksum")).alias("id"), customer.alias("case_id"), F.when(line != 7, order).alias("sales_order_id"), kind.alias("document_type"), stored.alias("filename"), name.alias("original_filename"),
+        F.when(line % 2 == 0, F.concat(F.lit("REF-"), F.col("l_partkey").cast("string"))).alias("reference_number"), storage_path(F.lit(BASE), case_key, month, number, kind, stored).alias("storage_path"),
+        "checksum", F.floor("l_extendedprice").cast("int").alias("file_size"), ((line % 4) * 90).cast("int").alias("rotation"), F.col("l_shipdate").alias("uploaded_at"), F.lit("Anonymous").alias("uploaded_by"),
     )
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.concat(F.lit("DOCUMENT_"), F.upper("event_type")).alias("action"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") + 7).alias("document_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 1000).alias("sales_order_id"), F.concat(F.lit("DOCUMENT_"), F.upper("event_type")).alias("action"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("actor"), F.col("props").alias("details"), F.col("ts").alias("created_at"),
     )

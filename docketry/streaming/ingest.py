@@ -9,11 +9,11 @@ from docketry.operators.commands import audit_rows, upload_documents
 REQUEST = "seq long, case_id long, sales_order_id long, document_type string, original_filename string, checksum string, uploaded_by string"
 
 
-def ingest_uploads(requests: DataFrame, cases: DataFrame, orders: DataFrame, accepted_path: str, rejected_path: str, audit_path: str, checkpoint: str) -> StreamingQuery:
+def ingest_uploads(requests: DataFrame, cases: DataFrame, orders: DataFrame, accepted_path: str, rejected_path: str, audit_path: str, checkpoint: str, documents: DataFrame | None = None) -> StreamingQuery:
     """Append accepted requests, rejected ones with their reason, and audit rows, batch by batch.
 
-    What was accepted before is the state that duplicates are looked up in, so a file uploaded again in a
-    later batch is rejected. A batch that is run again after a failure writes to the same folders, named by the batch,
+    What was accepted before and the `documents` that there were already are the state that duplicates are looked up in, so a file
+    uploaded again in a later batch is rejected. Of that state, upload_documents keeps what a batch asks for before anything is shuffled. A batch that is run again after a failure writes to the same folders, named by the batch,
     and leaves out its own earlier output.
     """
 
@@ -23,7 +23,10 @@ def ingest_uploads(requests: DataFrame, cases: DataFrame, orders: DataFrame, acc
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(accepted_path)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             before = spark.read.schema("case_id long, checksum string, batch long").parquet(accepted_path)
-        judged = upload_documents(cases, orders, before.where(F.col("batch") < number), batch).persist()
+        state = before.where(F.col("batch") < number).select("case_id", "checksum")
+        if documents is not None:
+            state = state.unionByName(documents.select("case_id", "checksum"))
+        judged = upload_documents(cases, orders, state, batch).persist()
         judged.where("reject_reason is null").drop("reject_reason").write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
         judged.where("reject_reason is not null").write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
         audit_rows(judged, "DOCUMENT_UPLOADED", F.col("uploaded_by"), ["document_type", "original_filename"]).write.mode("overwrite").parquet(f"{audit_path}/batch={number}")

@@ -112,5 +112,43 @@ def test_files_round_trip(spark, tmp_path):
     found = files.located(files.scan(spark, str(tmp_path)))
     assert {(r.case_id, r.so_month, r.so_number, r.document_type, r.length) for r in found.collect()} == {("CASE-2026-0001", "2026-01", "10", "POD", 4), ("CASE-2026-0001", "2026-01", "10", "POD", 5)}
     assert files.content(docs.drop("content"), files.scan(spark, str(tmp_path))).count() == 2
+    known = docs.drop("content").withColumns({"id": F.length("original_filename").cast("long") + F.when(F.col("original_filename") == "b.PDF", 1).otherwise(0), "rotation": F.lit(90)})
+    one = files.content_of(known, files.scan(spark, str(tmp_path)), 6).first()
+    assert (bytes(one.content), one.rotation_header, one.inline) == (b"%PDF2", "90", 'inline; filename="b.PDF"')
+    lost = known.withColumn("storage_path", F.lit("/no/such/file.pdf"))
+    with pytest.raises(Exception, match="file not found"):
+        files.content(lost, files.scan(spark, str(tmp_path))).collect()
+    assert [r.content for r in files.content(lost, files.scan(spark, str(tmp_path)), strict=False).collect()] == [None, None]
     files.delete(docs.limit(1))
     assert sorted(r.length for r in files.present(docs, files.scan(spark, str(tmp_path))).collect())[0] == 0
+
+
+def test_numbering_goes_over_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5003).alias("seq")).repartition(7)
+    got = {r.seq: r.nth for r in C.numbered(rows, "seq").collect()}
+    assert [got[s] for s in sorted(got)] == list(range(1, 5001))
+
+
+def test_repeats_of_one_key_and_of_null_keys(spark):
+    batch = spark.createDataFrame([(i, "same" if i % 2 else None, None if i < 6 else "bad") for i in range(8)], "seq long, key string, reject_reason string")
+    got = {r.seq: r.reject_reason for r in C._without_repeats(batch, "again", "key").collect()}
+    assert got == {0: None, 1: None, 2: "again", 3: "again", 4: "again", 5: "again", 6: "bad", 7: "bad"}
+
+
+def test_odd_turns_have_a_reason(spark):
+    batch = spark.createDataFrame([(1, 90), (2, 45), (3, None)], "seq long, degrees int")
+    assert {r.seq: r.reject_reason for r in C.judged_turns(batch).collect()} == {1: None, 2: "rotation", 3: "rotation"}
+
+
+def test_shortest_queries(cases):
+    assert L.long_enough(cases, "s", L.LEAST_CASE_QUERY).count() == 0 and L.long_enough(cases, "sk", L.LEAST_CASE_QUERY).count() == 3
+    assert L.long_enough(cases, "10", L.LEAST_ORDER_QUERY).count() == 0
+
+
+def test_schemas_are_those_of_the_tables(spark, sf_dir):
+    from docketry.sources import tables as T
+
+    for columns, table in ((T.CASES, T.cases), (T.SALES_ORDERS, T.sales_orders), (T.DOC_FILES, T.doc_files), (T.AUDIT_LOGS, T.audit_logs)):
+        declared = T.schema(columns)
+        assert [(f.name, f.dataType) for f in table(spark, sf_dir).schema] == [(f.name, f.dataType) for f in declared]
+        assert spark.createDataFrame([], declared).count() == 0

@@ -11,3 +11,12 @@ def test_duplicates_across_batches(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(paths[0]).collect()) == [1, 4]
     assert {(r.seq, r.reject_reason) for r in spark.read.parquet(paths[1]).collect()} == {(2, "duplicate file"), (3, "duplicate file")}
     assert spark.read.parquet(paths[2]).count() == 2
+
+
+def test_files_that_there_were_before(spark, tmp_path):
+    cases, orders = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(10, 1)], "id long, case_id long")
+    documents = spark.createDataFrame([(1, "old"), (2, "x")], "case_id long, checksum string")
+    spark.createDataFrame([(1, 1, 10, "POD", "a.pdf", "x", "me"), (2, 1, 10, "POD", "b.pdf", "old", "me")], REQUEST).coalesce(1).write.parquet(f"{tmp_path}/in")
+    paths = [f"{tmp_path}/{n}" for n in ("accepted", "rejected", "audit", "checkpoint")]
+    ingest_uploads(spark.readStream.schema(REQUEST).parquet(f"{tmp_path}/in"), cases, orders, *paths, documents=documents).awaitTermination()
+    assert [r.seq for r in spark.read.parquet(paths[0]).collect()] == [1]

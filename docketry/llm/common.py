@@ -51,10 +51,15 @@ def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
-    """df with a broadcast hint if a count shows that its rows and their sizes are small; otherwise Spark picks a shuffled join."""
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether a count finds df's rows and their sizes small enough for a broadcast."""
     n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and size <= chars else df
+    return n <= rows and size <= chars
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it fits; otherwise Spark picks a shuffled join."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def discard(spark: SparkSession, path: str) -> None:

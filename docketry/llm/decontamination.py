@@ -3,11 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import ascii_lower, small, table, words
+from docketry.llm.common import ascii_lower, cut, fits, table, words
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A fingerprint packs a gram hash of HASH_BITS over its position in POSITION_BITS.
-POSITION_BITS, HASH_BITS = 28, 35
+#: A fingerprint packs a gram hash of HASH_BITS over its position in POSITION_BITS, which is enough for any text: Spark's strings
+#: have 2^31 bytes at most.
+POSITION_BITS, HASH_BITS = 30, 33
 
 
 def item_words(text: Column) -> Column:
@@ -60,9 +61,12 @@ def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items, without null ids. Null and empty texts have no words; items without words never occur.
     Equal ids with different texts are told apart, equal rows each get a row; other columns are ignored.
 
+    Texts of any length are taken whole; an empty table gives an empty result.
+
     Fingerprints are joined by hash, then each hit is extended word by word as far as a window around it
-    can reach, and kept if a whole window matches. The benchmark's side is broadcast if a count
-    finds it small, else shuffled; documents are read once either way.
+    can reach, and kept if a whole window matches. The benchmark's side is broadcast if a count finds it small; documents are read once then.
+    Otherwise hashes alone are shuffled to find which of them the benchmark has, and the documents that have some are read again: of a
+    hit only the words that a window can reach travel to the benchmark's.
     """
     reach = window - k
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), item_words(F.col(item_text)).alias("w")).withColumn("n", F.size("w"))
@@ -78,14 +82,29 @@ def overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for side in sides[1:]:
         known = known.unionByName(side)
     # Items that share a passage share a row, so what many items repeat is extended once.
-    known = small(known.where(F.col("h").isNotNull()).groupBy("h", "k", "r", "c").agg(F.collect_set("item").alias("items")).withColumnRenamed("h", "_h"))
+    known = known.where(F.col("h").isNotNull()).groupBy("h", "k", "r", "c").agg(F.collect_set("item").alias("items")).withColumnRenamed("h", "_h")
+    broadcast = fits(known)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), item_words(F.col(text_col)).alias("w"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    worded = lambda df: df.withColumn("w", item_words(F.col("text"))).drop("text")
     # A negative fingerprint stands for the row itself.
     itself = F.array(-F.lit(1 << POSITION_BITS) * (F.pmod("t", F.lit(1 << 20)) + 1))
-    grams = _exploded(fingerprints(texts, window, k, short).withColumn("n", F.size("w")), itself)
+    if broadcast:
+        grams = _exploded(fingerprints(worded(texts), window, k, short).withColumn("n", F.size("w")), itself)
+        near_words = lambda j: F.get("w", F.col("p") - F.col("r") + j)
+        known = F.broadcast(known)
+    else:
+        hashes = _exploded(fingerprints(worded(texts), window, k, short)).where(F.col("h").isNotNull()).select("id", "t", "h")
+        shared = cut(hashes.join(known.select("_h").distinct(), F.col("h") == F.col("_h"), "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("hs")).withColumnsRenamed({"id": "_i", "t": "_t"}))
+        found = worded(texts.join(shared, F.equal_null("id", "_i") & (F.col("t") == F.col("_t")), "left").drop("_i", "_t"))
+        printed = fingerprints(found, window, k, short).withColumn("fp", F.coalesce(F.filter("fp", lambda x: F.array_contains("hs", F.shiftright(x, POSITION_BITS))), F.array().cast("array<long>")))
+        grams = _exploded(printed.withColumn("n", F.size("w")).drop("hs"), itself)
+        # The words from `reach` before the gram to the end of a window that begins with it.
+        from_ = F.greatest(F.col("p") - reach, F.lit(0))
+        grams = grams.select("id", "t", "n", "h", "p", from_.alias("f"), F.slice("w", from_ + 1, F.lit(window + reach)).alias("w"))
+        near_words = lambda j: F.get("w", F.col("p") - F.col("r") + j - F.col("f"))
     joined = grams.join(known, F.col("h") == F.col("_h"), "left").where((F.col("h") < 0) | F.col("_h").isNotNull())
-    same = F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda j: F.coalesce(F.get("w", F.col("p") - F.col("r") + j) == F.get("c", j), F.lit(False)))
+    same = F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda j: F.coalesce((near_words(j) == F.get("c", j)) & (F.col("p") - F.col("r") + j >= 0), F.lit(False)))
     extended = joined.select("id", "t", "n", "h", "p", "k", "r", "items", F.when(F.col("h") >= 0, same).alias("e"))
     run = lambda part: F.when(F.array_position(part, False) > 0, F.array_position(part, False) - 1).otherwise(F.size(part)).cast("int")
     left, right = run(F.reverse(F.slice("e", 1, F.col("r")))), run(F.slice("e", F.col("r") + F.col("k") + 1, F.col("r")))

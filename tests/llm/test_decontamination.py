@@ -18,9 +18,11 @@ def test_against_sql(spark, sf_dir):
     assert rows_of(df) == sorted(con.execute(D.OP1_SQL).fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, True), (2, True), (3, False)])
+def test_against_brute_force(spark, seed, broadcast, monkeypatch):
     """Few words, so that windows overlap, repeat and tie; items shorter than a window, and one without words."""
+    if not broadcast:
+        monkeypatch.setattr(D, "fits", lambda df: False)
     r = random.Random(seed)
     word = lambda: r.choice("aBc")
     items = [(i, " ".join(word() for _ in range(r.choice([0, 1, 3, 8, 12, 13, 14, 30])))) for i in range(12)] + [(99, None)]
@@ -44,7 +46,24 @@ def test_against_brute_force(spark, seed):
     assert got == want
 
 
-def test_edges(spark, edges, nothing):
+def test_shuffled_join_against_sql(spark, sf_dir, monkeypatch):
+    """With nothing broadcast: the same rows, and no more words in a row than a hit can reach."""
+    monkeypatch.setattr(D, "fits", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = D.op1_winnowing(spark, sf_dir)
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        assert rows_of(df) == sorted(con.execute(D.OP1_SQL).fetchall(), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_edges(spark, edges, nothing, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(D, "fits", lambda df: False)
     bench = spark.createDataFrame([(1, "same text here", "x"), (None, "one two", "y"), (2, None, None), (3, "", "")], "item_id long, text string, h string")
     got = D.judged(D.overlap(edges, bench)).collect()
     assert len(got) == edges.count()

@@ -19,6 +19,8 @@ from docketry.llm.common import scratch, table
 # length of a text: contractions, runs of letters, single digits, runs of anything else but white space.
 _LETTER, _DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ \t-\r\x85\xa0{_LETTER}{_DIGIT}]+")
+#: Rows of one id from which on they are dealt out by their texts too.
+EQUAL_ROWS = 4096
 #: Longer words and pieces are encoded each time, so that entries bound a cache's bytes.
 CACHED_BYTES = 64
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
@@ -110,8 +112,15 @@ def write_token_files(
             at += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.substring(text_col, 1, 16).alias("head"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("nth"))
-    ranged = keyed.repartitionByRange("doc", "head", "hash", "nth").sortWithinPartitions("doc", "head", "hash").select("doc", "text")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    keys = (F.substring("text", 1, 16).alias("head"), F.xxhash64("text").alias("hash"))
+    # Ids alone say where most tables part; texts are read for it only where one id has many rows.
+    most = rows.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > EQUAL_ROWS:
+        dealt = rows.select("*", *keys, F.monotonically_increasing_id().alias("nth")).repartitionByRange("doc", "head", "hash", "nth")
+    else:
+        dealt = rows.repartitionByRange("doc").select("*", *keys)
+    ranged = dealt.sortWithinPartitions("doc", "head", "hash").select("doc", "text")
     encoded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(encode, f"doc {kind}, part int, offset long, n_tokens long, ids array<int>")
     options = {
         "parquet.writer.version": "v2", "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 1000,

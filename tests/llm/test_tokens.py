@@ -69,6 +69,18 @@ def test_files_edges(spark, edges, nothing, dictionary):
     assert T.read_token_files(spark, empty).count() == 0
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Half of the rows have no id and a third of these one text: no task gets them all, and starts have no gaps."""
+    monkeypatch.setattr(T, "EQUAL_ROWS", 100)
+    rows = [(None, "the same text" if i % 3 else f"text {i} of its own") for i in range(3000)] + [(i, "x y") for i in range(3000)]
+    path = scratch(spark, "t")
+    T.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, WORDS, 1)
+    parts = spark.read.parquet(path).groupBy("part").count().collect()
+    assert max(x["count"] for x in parts) < 3 * np.median([x["count"] for x in parts])
+    got = sorted((x.start, x.n_tokens) for x in T.read_token_files(spark, path).collect())
+    assert len(got) == 6000 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
 def test_file_format(spark, sf_dir, tmp_path):
     import glob
 

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that it is given; all but the last return the
 columns that they were given, whatever these are called. Decisions are joined back by id and a hash of the text, so rows of equal id and
 different texts have decisions of their own, and null ids are like any other; null and empty texts fail the quality rules, and texts of any
-length are taken whole. Each stage's output is written as Parquet and read again, which cuts lineage and lets a failed run go on from there.
+length are taken whole; an empty table gives an empty one. Each stage's output is written as Parquet and read again, which cuts lineage and lets a failed run go on from there.
 """
 
 from pyspark.sql import DataFrame, SparkSession

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from itertools import product
 
 import numpy as np
@@ -49,6 +51,31 @@ def test_held_out_accuracy():
     assert np.mean(right) > 0.9
 
 
+def test_forms_that_the_training_lines_lack():
+    """Held out by form: keys of services with marks of their own, and things that look like keys and are none."""
+    tagger = X.Tagger(*X.train(X.made_up()))
+    r = random.Random(99)
+    some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    word, alnum, digits = lambda: some("etaoinshrdlu", r.randrange(2, 9)), string.ascii_letters + string.digits, string.digits
+    keys = [
+        lambda: f"glpat-{some(alnum + '_-', 20)}", lambda: f"npm_{some(alnum, 36)}", lambda: f"xoxb-{some(digits, 12)}-{some(digits, 12)}-{some(alnum, 24)}", lambda: f"AIza{some(alnum + '_-', 35)}", lambda: f"dop_v1_{some(alnum.lower(), 64)}",
+        lambda: f"SG.{some(alnum + '_-', 22)}.{some(alnum + '_-', 43)}", lambda: f"postgres://{word()}:{some(alnum, 16)}@{word()}.example.com/{word()}", lambda: some("0123456789ABCDEF", 48),
+    ]
+    plain = [
+        lambda: f"DE{some(digits, 20)}", lambda: f"GB{some(digits, 2)} WEST {some(digits, 4)} {some(digits, 4)} {some(digits, 4)} {some(digits, 2)}", lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: "978-3-16-148410-0", lambda: "2024-05-17T12:30:11Z",
+        lambda: "/usr/lib/python3/dist-packages/numpy_core", lambda: f"https://www.{word()}.org/{word()}/{word()}-{word()}.html?id={some(digits, 6)}", lambda: "HttpRequestHandlerFactoryBean", lambda: f"{word()}.{word()}{some(digits, 2)}@{word()}.com", lambda: f"+49 151 {some(digits, 8)}",
+    ]
+    for forms, secret in ((keys, True), (plain, False)):
+        for form in forms:
+            hits = 0
+            for _ in range(200):
+                lead, x = " ".join(word() for _ in range(r.randrange(1, 6))), form()
+                middle = len(lead) + 1 + len(x) // 2
+                runs = tagger.spans([f"{lead} {x} {word()} {word()}."])[0]
+                hits += any(a <= middle < b for run in runs for a, b in run) if secret else bool(runs)
+            assert hits >= 180 if secret else hits <= 6, (form(), hits)
+
+
 def test_query(spark, sf_dir):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for x in X.op9_crf_secrets(spark, sf_dir).collect():

@@ -56,14 +56,19 @@ def write(documents: DataFrame) -> None:
     documents.select("storage_path", "content").foreachPartition(save)
 
 
-def delete(documents: DataFrame) -> None:
-    """Remove the files at `storage_path`, where there are any."""
+def delete(documents: DataFrame) -> int:
+    """Remove the files at `storage_path`; how many of them there were."""
+    gone = documents.sparkSession.sparkContext.accumulator(0)
 
     def remove(rows: Iterator[Row]) -> None:
         for row in rows:
-            Path(row.storage_path).unlink(missing_ok=True)
+            path = Path(row.storage_path)
+            if path.exists():
+                path.unlink(missing_ok=True)
+                gone.add(1)
 
     documents.select("storage_path").foreachPartition(remove)
+    return gone.value
 
 
 def jdbc(spark: SparkSession, url: str, name: str, partition_column: str = "id", bounds: tuple[int, int] = (0, 1 << 31), partitions: int = 30, **options: str) -> DataFrame:

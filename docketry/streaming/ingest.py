@@ -1,6 +1,6 @@
 """Upload requests as a stream: each micro-batch goes through the batch command."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,6 +9,17 @@ from docketry.operators.commands import audit_rows, upload_documents
 REQUEST = "seq long, case_id long, sales_order_id long, document_type string, original_filename string, checksum string, uploaded_by string"
 
 
+#: Columns of a file source that reads whole files.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def staged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files put into a staging folder, as a stream: original_filename, content, checksum and file_size of each PDF, whatever its letter case."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    return files.select("path", name.alias("original_filename"), "content", F.sha2("content", 256).alias("checksum"), F.col("length").alias("file_size"))
+
+
 def ingest_uploads(requests: DataFrame, cases: DataFrame, orders: DataFrame, accepted_path: str, rejected_path: str, audit_path: str, checkpoint: str, documents: DataFrame | None = None) -> StreamingQuery:
     """Append accepted requests, rejected ones with their reason, and audit rows, batch by batch.
 

@@ -119,7 +119,7 @@ def test_files_round_trip(spark, tmp_path):
     with pytest.raises(Exception, match="file not found"):
         files.content(lost, files.scan(spark, str(tmp_path))).collect()
     assert [r.content for r in files.content(lost, files.scan(spark, str(tmp_path)), strict=False).collect()] == [None, None]
-    files.delete(docs.limit(1))
+    assert files.delete(docs.limit(1)) == 1 and files.delete(docs.limit(1).withColumn("storage_path", F.lit("/no/such/file.pdf"))) == 0
     assert sorted(r.length for r in files.present(docs, files.scan(spark, str(tmp_path))).collect())[0] == 0
 
 
@@ -152,3 +152,15 @@ def test_schemas_are_those_of_the_tables(spark, sf_dir):
         declared = T.schema(columns)
         assert [(f.name, f.dataType) for f in table(spark, sf_dir).schema] == [(f.name, f.dataType) for f in declared]
         assert spark.createDataFrame([], declared).count() == 0
+
+
+def test_jdbc_reads_by_ranges(spark, tmp_path):
+    """The database that comes with Spark, in memory."""
+    url = "jdbc:derby:memory:cases;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).selectExpr("id as ID", "cast(id * 2 as int) as CASE_ID")
+    rows.write.format("jdbc").options(url=url, dbtable="SALES_ORDERS", **driver).mode("overwrite").save()
+    got = files.jdbc(spark, url, "SALES_ORDERS", "ID", (0, 100), 4, fetchsize="10", **driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
+    one = got.where("ID = 42")
+    assert [tuple(r) for r in one.collect()] == [(42, 84)] and "PushedFilters: [*IsNotNull(ID), *EqualTo(ID,42)]" in one._jdf.queryExecution().toString()

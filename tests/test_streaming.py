@@ -1,4 +1,6 @@
-from docketry.streaming.ingest import REQUEST, ingest_uploads
+import hashlib
+
+from docketry.streaming.ingest import REQUEST, ingest_uploads, staged_files
 
 
 def test_duplicates_across_batches(spark, tmp_path):
@@ -20,3 +22,12 @@ def test_files_that_there_were_before(spark, tmp_path):
     paths = [f"{tmp_path}/{n}" for n in ("accepted", "rejected", "audit", "checkpoint")]
     ingest_uploads(spark.readStream.schema(REQUEST).parquet(f"{tmp_path}/in"), cases, orders, *paths, documents=documents).awaitTermination()
     assert [r.seq for r in spark.read.parquet(paths[0]).collect()] == [1]
+
+
+def test_staged_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.pdf", b"%PDF"), ("b.PDF", b"%PDF2"), ("c.txt", b"no")):
+        (tmp_path / "in" / name).write_bytes(data)
+    staged_files(spark, f"{tmp_path}/in").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = {(r.original_filename, bytes(r.content), r.checksum, r.file_size) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(n, d, hashlib.sha256(d).hexdigest(), len(d)) for n, d in (("a.pdf", b"%PDF"), ("b.PDF", b"%PDF2"))}

@@ -3,11 +3,11 @@ from collections import Counter
 
 import corpus_pipeline as P
 import duckdb
+import pytest
 import test_mixing
 import test_near_dedup
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut
 from docketry.llm.decontamination import OP1_SQL
 from docketry.llm.quality import judge
 
@@ -19,22 +19,29 @@ def contaminated(sf_dir):
     return {d for (d,) in con.execute(f"SELECT doc_id FROM ({OP1_SQL}) WHERE contaminated").fetchall()}
 
 
-def test_stages(spark, sf_dir, tmp_path):
-    """Every stage against what its operator or a brute force says of the stage's own input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, outs = docs.columns, []
+@pytest.fixture(scope="module")
+def outs(spark, sf_dir, tmp_path_factory):
+    """What the stages give one after the other."""
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(P.STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        outs.append(docs)
-        if i < 4:
-            assert docs.columns == columns
+        path = f"{tmp_path_factory.mktemp('stages')}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        found.append(docs)
+    return found
+
+
+def test_stages(spark, sf_dir, outs):
+    """Every stage against what its operator or a brute force says of the stage's own input."""
+    columns = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    assert all(docs.columns == columns for docs in outs[:4])
     first = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = lambda df: sorted(x.doc_id for x in df.collect())
     assert ids(outs[0]) == ids(judge(first).where("kept"))
     groups = test_near_dedup.brute([(x.doc_id, x.text) for x in outs[0].collect()])
     assert ids(outs[1]) == sorted(d for d, (_, c) in groups.items() if d == c)
-    assert ids(outs[2]) == sorted(d for d in ids(outs[1]) if d not in contaminated(sf_dir))
+    bad = contaminated(sf_dir)
+    assert ids(outs[2]) == [d for d in ids(outs[1]) if d not in bad]
     copies = ids(outs[3])
     assert set(copies) <= set(ids(outs[2])) and max(map(copies.count, set(copies))) <= 2
     assert ids(outs[4]) == copies
@@ -60,13 +67,10 @@ def test_mixing_against_targets(spark, sf_dir):
         assert abs(taken[source] - target) <= max(0.01 * target, max(n for s, n in words.values() if s == source))
 
 
-def test_run(spark, sf_dir):
+def test_run(spark, sf_dir, outs):
     """run() gives what the stages give one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in P.STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
     got = sorted(map(tuple, P.run(spark, sf_dir).collect()))
-    assert got == sorted(map(tuple, docs.collect())) and got
+    assert got == sorted(map(tuple, outs[-1].collect())) and got
 
 
 def test_edges(spark, sf_dir, edges, nothing):

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, decontamination, html_text, mixing, near_dedup, quality, runs, secrets, sharding, token_counts, token_files, whitening
+from docketry.llm import chat, decontamination, html_text, mixing, near_dedup, quality, runs, secrets, sharding, token_counts, token_files, top_k, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_crf_secrets": secrets.op9_crf_secrets,
         "op10_chat_format": chat.op10_chat_format,
         "op8_jump_shards": sharding.op8_jump_shards,
+        "op11_dual_cover_tree": top_k.op11_dual_cover_tree,
         "op12_spectrum_slicing": whitening.op12_spectrum_slicing,
         "op13_lyndon_runs": runs.op13_lyndon_runs,
     }

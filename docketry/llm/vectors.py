@@ -12,9 +12,9 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(F.coalesce(vector, F.array().cast("array<double>")), bad)
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector) of the rows with a finite vector, in doubles."""
-    return df.where(finite(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+def usable(df: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
+    """(id, vector, *others) of the rows with a finite vector, in doubles."""
+    return df.where(finite(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), *others)
 
 
 def matrix(vectors: pa.ListArray, d: int, scale: float, offset: int = 0) -> np.ndarray:
@@ -35,7 +35,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if bound < 1 << 63:
-        return a @ b.T
+        return a.astype(np.int64) @ b.astype(np.int64).T
     return a.astype(object) @ b.astype(object).T
 
 

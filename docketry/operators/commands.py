@@ -1,16 +1,19 @@
-"""Changes in batches: validated, joined against the current state, and audited.
+"""Changes in batches: validated, joined against the current state, turned into rows, and audited.
 
 Each command takes the state and a batch of requests with a unique `seq`, the order of arrival, and gives the
-batch with `reject_reason` (null where accepted) and what the accepted rows become. A snapshot is then
-appended to or written anew; nothing is overwritten in place.
+batch with `reject_reason` (null where accepted) and what the accepted rows become. `*_rows` gives the new rows with their
+defaults, `audit_*` what the trail says of them. plans.records applies both to stored tables.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.scalars import case_number, case_suffix, is_month, normalize_opportunity, rotated, storage_path, stored_filename
+from docketry.functions.scalars import case_number, case_suffix, is_month, normalize_opportunity, optional, rotated, storage_path, stored_filename, strip
 from docketry.sources.tables import CASE_TYPES, ROTATIONS, STATUSES
 
+#: What a patch may set, in the order that it is validated and audited.
+FIELDS = ("customer_name", "case_type", "status", "notes")
+
 
 def _first(*rules: tuple[Column, str]) -> Column:
     """The reason of the first rule that holds."""
@@ -48,7 +51,7 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
 def create_cases(cases: DataFrame, batch: DataFrame, year: int) -> DataFrame:
     """Requests (seq, opportunity_id, customer_name, case_type) with reason and the new case_id.
 
-    Numbers go on from the year's largest, by arrival; only the accepted requests are numbered.
+    Numbers go on from the year's largest, by arrival; only the accepted requests are numbered, by `nth` from 1 on.
     """
     wanted = batch.withColumn("normalized", normalize_opportunity(F.col("opportunity_id")))
     taken = cases.select(F.col("opportunity_id").alias("normalized"), F.lit(True).alias("_taken"))
@@ -60,7 +63,7 @@ def create_cases(cases: DataFrame, batch: DataFrame, year: int) -> DataFrame:
     judged = _without_repeats(judged, "opportunity exists", "normalized")
     prefix = f"CASE-{year}-"
     largest = cases.where(F.col("case_id").startswith(prefix)).agg(F.coalesce(F.max(case_suffix(F.col("case_id"))), F.lit(0)).alias("_n"))
-    accepted = numbered(judged.where("reject_reason is null").select("seq"), "seq").crossJoin(largest).select(F.col("seq").alias("_seq"), case_number(F.lit(prefix), F.col("_n") + F.col("nth")).alias("case_id"))
+    accepted = numbered(judged.where("reject_reason is null").select("seq"), "seq").crossJoin(largest).select(F.col("seq").alias("_seq"), case_number(F.lit(prefix), F.col("_n") + F.col("nth")).alias("case_id"), "nth")
     return judged.join(accepted, F.col("seq") == F.col("_seq"), "left").drop("_seq")
 
 
@@ -96,20 +99,92 @@ def acknowledged(judged: DataFrame, orders: DataFrame, cases: DataFrame, base: s
     return named.select("seq", F.lit("Document uploaded successfully").alias("message"), stored.alias("filename"), path.alias("storage_path"), "checksum")
 
 
-def update_cases(cases: DataFrame, batch: DataFrame) -> DataFrame:
-    """Patches (id, set: array of field names, customer_name, case_type, status, notes), one per case, with what the case becomes.
+def judged_patches(cases: DataFrame, batch: DataFrame) -> DataFrame:
+    """Patches (id, set: array of field names, customer_name, case_type, status, notes) with reason and the case's old values.
 
     A field counts as set by its name, not by its value: an explicit null is a value, and rejected where
     the column can't be null.
     """
-    given = lambda f: F.array_contains("set", f)
-    joined = batch.join(cases.select("id", *[F.col(c).alias(f"old_{c}") for c in ("customer_name", "case_type", "status", "notes")], F.lit(True).alias("_case")), "id", "left")
+    joined = batch.join(cases.select("id", *[F.col(c).alias(f"old_{c}") for c in FIELDS], F.lit(True).alias("_case")), "id", "left")
     bad = _first(
-        (F.col("_case").isNull(), "case not found"), (given("customer_name") & ~F.coalesce(F.length("customer_name").between(1, 255), F.lit(False)), "customer_name"),
-        (given("case_type") & ~F.coalesce(F.col("case_type").isin(*CASE_TYPES), F.lit(False)), "case_type"), (given("status") & F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES), "status"),
+        (F.col("_case").isNull(), "case not found"), (_given("customer_name") & ~F.coalesce(F.length("customer_name").between(1, 255), F.lit(False)), "customer_name"),
+        (_given("case_type") & ~F.coalesce(F.col("case_type").isin(*CASE_TYPES), F.lit(False)), "case_type"), (_given("status") & F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES), "status"),
+    )
+    return joined.withColumn("reject_reason", bad).drop("_case")
+
+
+def _given(field: str) -> Column:
+    return F.array_contains("set", field)
+
+
+def update_cases(cases: DataFrame, batch: DataFrame) -> DataFrame:
+    """Patches with reason and what the case is after each of them: they are applied by `seq`, which a batch of one patch per case may leave out.
+
+    A rejected patch changes nothing; each field has the value of the last accepted patch that set it.
+    """
+    seq = ["seq"] if "seq" in batch.columns else []
+    so_far = Window.partitionBy("id").orderBy(*(seq or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A value in a struct: a null that was set is told from one that wasn't.
+    last = lambda f: F.last(F.when(_given(f) & F.col("reject_reason").isNull(), F.struct(F.col(f).alias("value"))), ignorenulls=True).over(so_far)
+    after = judged_patches(cases, batch).withColumns({f"_{f}": last(f) for f in FIELDS})
+    return after.select("id", *seq, "reject_reason", *[F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.value")).otherwise(F.col(f"old_{f}")).alias(f"new_{f}") for f in FIELDS])
+
+
+def patched_cases(cases: DataFrame, judged: DataFrame, at: Column) -> DataFrame:
+    """All cases, with the accepted patches of judged_patches folded by seq; those that have any get a new updated_at.
+
+    The last value of each field is picked before the shuffle, so no task holds all patches of one case.
+    """
+    accepted = judged.where("reject_reason is null")
+    set_last = [F.max_by(F.when(_given(f), F.struct(F.col(f).alias("value"))), F.when(_given(f), F.col("seq"))).alias(f"_{f}") for f in FIELDS]
+    folded = accepted.groupBy("id").agg(*set_last, F.lit(True).alias("_hit"))
+    new = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.value")).otherwise(F.col(f)) for f in FIELDS}
+    return cases.join(folded, "id", "left").withColumns({**new, "updated_at": F.when(F.col("_hit"), at).otherwise(F.col("updated_at"))}).drop("_hit", *[f"_{f}" for f in FIELDS])
+
+
+def trimmed(batch: DataFrame) -> DataFrame:
+    """Requests as a client sends them: names and numbers without white space around them, empty notes and references as none."""
+    there = lambda names, f: {c: f(F.col(c)) for c in names if c in batch.columns}
+    return batch.withColumns(there(("opportunity_id", "customer_name", "so_number"), strip) | there(("notes", "reference_number"), optional))
+
+
+def _next_ids(judged: DataFrame, table: DataFrame) -> DataFrame:
+    """Accepted requests with the `new_id` that follows the table's largest, by arrival."""
+    largest = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
+    accepted = judged.where("reject_reason is null")
+    ids = numbered(accepted.select("seq"), "seq").crossJoin(largest).select(F.col("seq").alias("_seq"), (F.col("_most") + F.col("nth")).alias("new_id"))
+    return accepted.drop("nth").join(ids, F.col("seq") == F.col("_seq")).drop("_seq")
+
+
+def case_rows(judged: DataFrame, cases: DataFrame, at: Column) -> DataFrame:
+    """seq and the rows of accepted create_cases requests: open, with an id after the largest."""
+    notes = F.col("notes") if "notes" in judged.columns else F.lit(None)
+    return _next_ids(judged, cases).select(
+        "seq", F.col("new_id").alias("id"), "case_id", F.col("normalized").alias("opportunity_id"), "customer_name", "case_type", F.lit("OPEN").alias("status"), notes.cast("string").alias("notes"), at.alias("created_at"), at.alias("updated_at")
+    )
+
+
+def order_rows(judged: DataFrame, orders: DataFrame, at: Column) -> DataFrame:
+    """seq and the rows of accepted create_sales_orders requests."""
+    return _next_ids(judged, orders).select("seq", F.col("new_id").alias("id"), "case_id", "so_number", "so_month", at.alias("created_at"), at.alias("updated_at"))
+
+
+def document_rows(judged: DataFrame, cases: DataFrame, orders: DataFrame, documents: DataFrame, base: str, at: Column) -> DataFrame:
+    """seq and the rows of accepted upload_documents requests: not rotated, filed under their case and order."""
+    text = lambda c, default: (F.coalesce(F.col(c), F.lit(default)) if c in judged.columns else F.lit(default)).cast("string")
+    of_order = orders.select(F.col("id").alias("sales_order_id"), "so_number", "so_month")
+    of_case = cases.select(F.col("id").alias("case_id"), F.col("case_id").alias("case_key"))
+    stored = stored_filename(F.concat_ws("-", "case_id", "checksum"), F.col("original_filename"))
+    path = storage_path(F.lit(base), F.col("case_key"), F.col("so_month"), F.col("so_number"), F.col("document_type"), stored)
+    return _next_ids(judged, documents).join(of_order, "sales_order_id").join(of_case, "case_id").select(
+        "seq", F.col("new_id").alias("id"), "case_id", "sales_order_id", "document_type", stored.alias("filename"), "original_filename", text("reference_number", None).alias("reference_number"), path.alias("storage_path"),
+        "checksum", F.col("file_size").cast("int").alias("file_size"), F.lit(0).alias("rotation"), at.alias("uploaded_at"), text("uploaded_by", "Anonymous").alias("uploaded_by"),
     )
-    new = [F.when(given(f) & F.col("reject_reason").isNull(), F.col(f)).otherwise(F.col(f"old_{f}")).alias(f"new_{f}") for f in ("customer_name", "case_type", "status", "notes")]
-    return joined.withColumn("reject_reason", bad).select("id", "reject_reason", *new)
+
+
+def upload_replies(rows: DataFrame) -> DataFrame:
+    """What the caller is told of each document row: (seq, id, message, filename, storage_path, checksum)."""
+    return rows.select("seq", "id", F.lit("Document uploaded successfully").alias("message"), "filename", "storage_path", "checksum")
 
 
 def judged_turns(batch: DataFrame) -> DataFrame:
@@ -150,3 +225,61 @@ def orphans(orders: DataFrame, documents: DataFrame, cases: DataFrame) -> DataFr
 def audit_rows(accepted: DataFrame, action: str, actor: Column, details: list[str | Column], **ids: Column) -> DataFrame:
     """(seq, action, actor, details) of accepted requests, details as JSON, with what `ids` names of case_id, document_id and sales_order_id."""
     return accepted.where("reject_reason is null").select("seq", F.lit(action).alias("action"), actor.alias("actor"), F.to_json(F.struct(*details)).alias("details"), *[c.alias(name) for name, c in ids.items()])
+
+
+AUDIT = ("seq", "case_id", "document_id", "sales_order_id", "action", "actor", "details")
+
+
+def _audit(rows: DataFrame, action: str, actor: Column, details: Column, case_id: Column, document_id: Column | None = None, sales_order_id: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("long")
+    of = (case_id, none if document_id is None else document_id, none if sales_order_id is None else sales_order_id)
+    return rows.select("seq", *[c.cast("long").alias(n) for c, n in zip(of, AUDIT[1:4], strict=True)], F.lit(action).alias("action"), actor.alias("actor"), details.alias("details"))
+
+
+def _json(*columns: str | Column) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def audit_new_cases(rows: DataFrame) -> DataFrame:
+    """Of case_rows."""
+    return _audit(rows, "CASE_CREATED", F.lit("System"), _json("case_id", "opportunity_id"), F.col("id"))
+
+
+def audit_new_orders(rows: DataFrame) -> DataFrame:
+    """Of order_rows."""
+    return _audit(rows, "SO_CREATED", F.lit("System"), _json("so_number", "so_month"), F.col("case_id"), sales_order_id=F.col("id"))
+
+
+def audit_new_documents(rows: DataFrame) -> DataFrame:
+    """Of document_rows."""
+    return _audit(rows, "DOCUMENT_UPLOADED", F.col("uploaded_by"), _json("document_type", "original_filename", "file_size"), F.col("case_id"), F.col("id"), F.col("sales_order_id"))
+
+
+def audit_patches(judged: DataFrame) -> DataFrame:
+    """Of judged_patches with seq: the fields that each accepted patch set, explicit nulls included."""
+    sent = F.filter(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value")) for f in FIELDS]), lambda x: F.array_contains(F.col("set"), x["name"]))
+    return _audit(judged.where("reject_reason is null"), "CASE_UPDATED", F.lit("System"), F.to_json(F.map_from_entries(sent), {"ignoreNullFields": "false"}), F.col("id"))
+
+
+def judged_rotations(documents: DataFrame, batch: DataFrame) -> DataFrame:
+    """Turns (seq, id, degrees) with reason and new_rotation, what the document is turned to after each, by seq."""
+    known = batch.join(documents.select("id", "case_id", "sales_order_id", F.col("rotation").alias("_old"), F.lit(True).alias("_there")), "id", "left")
+    judged = known.withColumn("reject_reason", _first((F.col("_there").isNull(), "document not found"), (~F.coalesce(F.col("degrees").isin(*ROTATIONS), F.lit(False)), "rotation")))
+    turned = F.sum(F.when(F.col("reject_reason").isNull(), F.col("degrees")).otherwise(0)).over(Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return judged.withColumn("new_rotation", F.when(F.col("reject_reason").isNull(), rotated(F.col("_old"), turned).cast("int"))).drop("_old", "_there")
+
+
+def audit_rotations(judged: DataFrame) -> DataFrame:
+    """Of judged_rotations."""
+    return _audit(judged.where("reject_reason is null"), "DOCUMENT_ROTATED", F.lit("System"), _json("degrees", "new_rotation"), F.col("case_id"), F.col("id"), F.col("sales_order_id"))
+
+
+def judged_deletions(documents: DataFrame, batch: DataFrame) -> DataFrame:
+    """Deletions (seq, id, deleted_by) with reason and what the document was; the second one of a document finds nothing."""
+    known = batch.join(documents.select("id", "case_id", "sales_order_id", "document_type", "original_filename", "storage_path", F.lit(True).alias("_there")), "id", "left")
+    return _without_repeats(known.withColumn("reject_reason", _first((F.col("_there").isNull(), "document not found"))).drop("_there"), "document not found", "id")
+
+
+def audit_deletions(judged: DataFrame) -> DataFrame:
+    """Of judged_deletions. The row outlives its document, so it names none."""
+    return _audit(judged.where("reject_reason is null"), "DOCUMENT_DELETED", F.coalesce("deleted_by", F.lit("System")), _json("document_type", "original_filename"), F.col("case_id"), sales_order_id=F.col("sales_order_id"))

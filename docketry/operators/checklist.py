@@ -38,9 +38,9 @@ def unpivoted(listed: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return listed.select("id", entries.alias("_e")).select("id", "_e.document_type", "_e.present")
 
 
-def order_search(orders: DataFrame, cases: DataFrame, documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Hits first, then at most `limit` of them are joined: their case, folder and six-type checklist."""
-    hits = search(orders, ("so_number",), query, "so_number", limit).drop("created_at", "updated_at")
+def order_search(orders: DataFrame, cases: DataFrame, documents: DataFrame, query: str, limit: int = 20, hits: DataFrame | None = None) -> DataFrame:
+    """Hits first, from a scan or as an index found them, then at most `limit` of them are joined: their case, folder and six-type checklist."""
+    hits = (search(orders, ("so_number",), query, "so_number", limit) if hits is None else hits).drop("created_at", "updated_at")
     known = cases.select(F.col("id").alias("_case"), F.col("case_id").alias("case_key"), "opportunity_id", "customer_name")
     # At most `limit` order ids: the documents are filtered to them before they are summed up.
     of_hits = documents.join(F.broadcast(hits.select(F.col("id").alias("_hit"))), documents["sales_order_id"] == F.col("_hit"), "left_semi")

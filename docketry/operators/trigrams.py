@@ -41,6 +41,7 @@ class TrigramIndex:
     path: str
     key: str
     fields: tuple[str, ...]
+    page_rows: int = 1000  # what a reader skips or takes as one
 
     def __post_init__(self):
         self.folder = Folder(self.spark, self.path)
@@ -54,7 +55,7 @@ class TrigramIndex:
         values = rows.select(F.col(self.key).alias("key"), each.alias("_e")).select("key", "_e.*").where("value is not null")
         postings = values.select("field", F.explode(pieces_of(F.col("value"))).alias("piece"), "key", "value")
         at = f"{self.path}/added/batch={number}"
-        postings.repartitionByRange("field", "piece", "key").sortWithinPartitions("field", "piece", "key").write.mode("overwrite").option("parquet.page.row.count.limit", 2000).parquet(f"{at}/postings")
+        postings.repartitionByRange("field", "piece", "key").sortWithinPartitions("field", "piece", "key").write.mode("overwrite").option("parquet.page.row.count.limit", self.page_rows).parquet(f"{at}/postings")
         rows.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/rows")
         counted = self.spark.read.parquet(f"{at}/postings").groupBy("field", "piece").agg(F.count("*").alias("n"))
         counted.repartitionByRange("field", "piece").sortWithinPartitions("field", "piece").write.mode("overwrite").parquet(f"{at}/pieces")
@@ -121,7 +122,7 @@ class TrigramIndex:
         hits = self.keys(query, fields)
         if hits is None:
             return _scan(table, fields or self.fields, query)
-        return table.join(hits.withColumnRenamed("key", self.key), self.key, "left_semi")
+        return table.join(hits.withColumnRenamed("key", self.key), self.key, "left_semi").select(*table.columns)
 
 
 def _either(column: str, values: list) -> Column:

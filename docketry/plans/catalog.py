@@ -3,8 +3,6 @@
 Queries come with fixed arguments; all of them read the whole tables that they concern.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,72 +12,12 @@ from docketry.operators import checklist as K
 from docketry.operators import commands as C
 from docketry.operators import lookups as L
 from docketry.operators import paging as P
+from docketry.plans.registry import SQL, VIEWS, Query, listed, oracle_sql, queries, register
 from docketry.sources.tables import BASE, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 #: Time is an argument, never the clock.
 AS_OF, YEAR = "2001-11-04", 2026
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-# The domain tables in DuckDB SQL.
-_VIEWS = """
-cases AS (
-  SELECT c_custkey AS id, 'CASE-2026-' || CASE WHEN c_custkey < 10000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END AS case_id,
-    'SKY-' || CAST(c_custkey AS VARCHAR) AS opportunity_id, c_name AS customer_name,
-    CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'FURNITURE', 'MACHINERY') THEN 'HARDWARE' ELSE 'SERVICES' END AS case_type,
-    CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'OPEN' WHEN c_custkey % 3 = 1 THEN 'IN_PROGRESS' ELSE 'CLOSED' END AS status, CAST(NULL AS VARCHAR) AS notes,
-    CAST(DATE '2026-01-01' + CAST(c_custkey % 300 AS INTEGER) AS TIMESTAMP) AS created_at, CASE WHEN c_custkey % 4 <> 0 THEN CAST(DATE '2026-01-01' + CAST(c_custkey % 300 + c_custkey % 9 AS INTEGER) AS TIMESTAMP) END AS updated_at
-  FROM customer),
-sales_orders AS (
-  SELECT o_orderkey AS id, o_custkey AS case_id, '10TM' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS so_number, substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS so_month, o_orderdate AS created_at,
-    CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP) END AS updated_at
-  FROM orders),
-doc_kinds AS (
-  SELECT *, CASE l_linenumber WHEN 2 THEN 'VENDOR_INVOICE' WHEN 3 THEN 'VENDOR_DC' WHEN 4 THEN 'COMPANY_INVOICE' WHEN 5 THEN 'COMPANY_DC' WHEN 6 THEN 'POD' ELSE 'CUSTOMER_PO' END AS kind
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-doc_rows AS (
-  SELECT o_orderkey, o_custkey, o_orderdate, o_custkey AS case_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS sales_order_id, kind AS document_type,
-    lower(kind) || ' ' || CAST(l_linenumber AS VARCHAR) || '.pdf' AS original_filename, CASE WHEN l_linenumber % 2 = 0 THEN 'REF-' || CAST(l_partkey AS VARCHAR) END AS reference_number,
-    sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
-      CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR), l_returnflag, l_linestatus, substr(CAST(l_shipdate AS VARCHAR), 1, 10))) AS checksum,
-    CAST(floor(l_extendedprice) AS INTEGER) AS file_size, CAST((l_linenumber % 4) * 90 AS INTEGER) AS rotation, l_shipdate AS uploaded_at, 'Anonymous' AS uploaded_by
-  FROM doc_kinds),
-doc_names AS (SELECT *, CAST('0x' || substr(checksum, 1, 15) AS BIGINT) AS id, substr(md5(checksum), 1, 8) || '_' || replace(original_filename, ' ', '_') AS filename FROM doc_rows),
-doc_files AS (
-  SELECT * EXCLUDE (o_orderkey, o_custkey, o_orderdate), '/data/cases/CASE-2026-' || CASE WHEN o_custkey < 10000 THEN lpad(CAST(o_custkey AS VARCHAR), 4, '0') ELSE CAST(o_custkey AS VARCHAR) END || '/' || substr(CAST(o_orderdate AS VARCHAR), 1, 7)
-    || '/SO-10TM' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '/' || document_type || '/' || filename AS storage_path
-  FROM doc_names),
-audit_logs AS (
-  SELECT event_id AS id, user_id AS case_id, CASE WHEN event_id % 3 <> 0 THEN event_id + 7 END AS document_id, CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS sales_order_id, 'DOCUMENT_' || upper(event_type) AS action, 'user_' || CAST(user_id AS VARCHAR) AS actor, props AS details, ts AS created_at FROM events)
-"""
-
-
-def _has(types: tuple[str, ...], prefix: str = "") -> str:
-    return ", ".join(f"coalesce(bool_or(document_type = '{t}'), false) AS has_{t.lower()}" for t in types)
-
-
-def _listed(types: tuple[str, ...]) -> str:
-    """Orders with their checklist, in SQL."""
-    return f"SELECT s.id, s.case_id, so_number, so_month, created_at, count(d.checksum) AS document_count, {_has(types)} FROM sales_orders s LEFT JOIN doc_files d ON d.sales_order_id = s.id GROUP BY ALL"
-
-
-def register(name: str, sql: str, query: Query) -> None:
-    """sql reads the domain tables; views that it doesn't use cost nothing."""
-    _QUERIES[name] = query
-    _SQL[name] = f"WITH {_VIEWS} {sql}"
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # Scans and projections. Times are shown as text, which both engines write alike.
 _AT = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 _AT_SQL = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
@@ -211,13 +149,13 @@ register("docs_for_case", f"SELECT {_DOC_AT} FROM doc_files WHERE case_id = 42",
 # Joins and checklists.
 _LIST = lambda types: f"id, case_id, so_number, so_month, document_count, {', '.join(f'has_{t.lower()}' for t in types)}"
 _LIST_COLS = lambda types: ("id", "case_id", "so_number", "so_month", "document_count", *[f"has_{t.lower()}" for t in types])
-register("so_with_checklist", f"SELECT {_LIST(ORDER_TYPES)} FROM ({_listed(ORDER_TYPES)})", lambda s, d: K.with_checklist(sales_orders(s, d), doc_files(s, d)).select(*_LIST_COLS(ORDER_TYPES)))
+register("so_with_checklist", f"SELECT {_LIST(ORDER_TYPES)} FROM ({listed(ORDER_TYPES)})", lambda s, d: K.with_checklist(sales_orders(s, d), doc_files(s, d)).select(*_LIST_COLS(ORDER_TYPES)))
 register("so_type_set", "SELECT sales_order_id, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS types FROM doc_files WHERE sales_order_id IS NOT NULL GROUP BY 1", lambda s, d: K.type_set(doc_files(s, d)))
 _DONE = " + ".join(f"CAST(has_{t.lower()} AS INTEGER)" for t in DOCUMENT_TYPES)
-register("so_completion", f"SELECT id, so_number, {_DONE} AS completed, 6 AS total, {_DONE} = 6 AS is_complete FROM ({_listed(DOCUMENT_TYPES)})", lambda s, d: K.completion(K.with_checklist(sales_orders(s, d), doc_files(s, d), DOCUMENT_TYPES), DOCUMENT_TYPES))
-register("checklist_unpivot", " UNION ALL ".join(f"SELECT id, '{t}' AS document_type, has_{t.lower()} AS present FROM ({_listed(ORDER_TYPES)})" for t in ORDER_TYPES), lambda s, d: K.unpivoted(K.with_checklist(sales_orders(s, d), doc_files(s, d)), ORDER_TYPES))
+register("so_completion", f"SELECT id, so_number, {_DONE} AS completed, 6 AS total, {_DONE} = 6 AS is_complete FROM ({listed(DOCUMENT_TYPES)})", lambda s, d: K.completion(K.with_checklist(sales_orders(s, d), doc_files(s, d), DOCUMENT_TYPES), DOCUMENT_TYPES))
+register("checklist_unpivot", " UNION ALL ".join(f"SELECT id, '{t}' AS document_type, has_{t.lower()} AS present FROM ({listed(ORDER_TYPES)})" for t in ORDER_TYPES), lambda s, d: K.unpivoted(K.with_checklist(sales_orders(s, d), doc_files(s, d)), ORDER_TYPES))
 _SEARCH = f"""SELECT {_LIST(DOCUMENT_TYPES).replace('id, case_id', 'l.id, l.case_id', 1)}, c.case_id AS case_key, opportunity_id, customer_name, '/nas/cases/' || c.case_id || '/' || so_month || '/SO-' || so_number AS folder_path
-FROM ({_listed(DOCUMENT_TYPES)}) l LEFT JOIN cases c ON l.case_id = c.id WHERE so_number ILIKE '%123%' ORDER BY so_number LIMIT """
+FROM ({listed(DOCUMENT_TYPES)}) l LEFT JOIN cases c ON l.case_id = c.id WHERE so_number ILIKE '%123%' ORDER BY so_number LIMIT """
 register("so_search", _SEARCH + "20", lambda s, d: K.order_search(sales_orders(s, d), cases(s, d), doc_files(s, d), "123"))
 register("so_search_first", _SEARCH + "1", lambda s, d: K.order_search(sales_orders(s, d), cases(s, d), doc_files(s, d), "123", 1))
 register("so_docs_of_type", f"SELECT {', '.join(_DOC)}, checksum FROM doc_files WHERE sales_order_id IS NOT NULL AND document_type = 'POD'", lambda s, d: doc_files(s, d).where("sales_order_id is not null and document_type = 'POD'").select(*_DOC, "checksum"))
@@ -226,7 +164,7 @@ register("docs_for_case_month", f"SELECT {_DOC_AT} FROM doc_files WHERE case_id
 register("docs_by_case_key", f"SELECT {', '.join(f'd.{c}' for c in _DOC)}, checksum FROM doc_files d JOIN cases c ON d.case_id = c.id WHERE c.case_id = 'CASE-2026-0042'", lambda s, d: L.documents_by_case_key(doc_files(s, d), cases(s, d), "CASE-2026-0042").select(*_DOC, "checksum"))
 register(
     "case_detail", f"""SELECT c.id, c.case_id, opportunity_id, customer_name, case_type, status, (SELECT min(checksum) FROM doc_files p WHERE p.case_id = c.id AND document_type = 'CUSTOMER_PO') AS po_checksum,
-    l.id AS so_id, so_number, so_month, document_count, {', '.join(f'has_{t.lower()}' for t in ORDER_TYPES)} FROM cases c LEFT JOIN ({_listed(ORDER_TYPES)}) l ON l.case_id = c.id""",
+    l.id AS so_id, so_number, so_month, document_count, {', '.join(f'has_{t.lower()}' for t in ORDER_TYPES)} FROM cases c LEFT JOIN ({listed(ORDER_TYPES)}) l ON l.case_id = c.id""",
     lambda s, d: K.case_detail(cases(s, d), sales_orders(s, d), doc_files(s, d)),
 )
 register(
@@ -283,7 +221,7 @@ r2 AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY normali
 n AS (SELECT *, CASE WHEN reject_reason IS NULL THEN (SELECT max(id) FROM cases) + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY seq) END AS number FROM r2)
 SELECT seq, normalized, reject_reason, 'CASE-{YEAR}-' || CASE WHEN number < 10000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END AS case_id FROM n"""
 register("cmd_create_cases", "", lambda s, d: _new_cases(s, d).select("seq", "normalized", "reject_reason", "case_id"))
-_SQL["cmd_create_cases"] = f"WITH {_VIEWS}, {_NEW_CASES}"
+SQL["cmd_create_cases"] = f"WITH {VIEWS}, {_NEW_CASES}"
 
 
 def _new_orders(s: SparkSession, d: str) -> DataFrame:
@@ -295,7 +233,7 @@ def _new_orders(s: SparkSession, d: str) -> DataFrame:
 
 
 register("cmd_create_sales_orders", "", lambda s, d: _new_orders(s, d).select("seq", "so_number", "reject_reason"))
-_SQL["cmd_create_sales_orders"] = f"""WITH {_VIEWS}, b AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 11 = 0 THEN -1 ELSE p_partkey % 100 END AS case_id, CASE WHEN p_partkey % 4 = 0 THEN '10TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') ELSE 'NEW-' || CAST(p_partkey // 2 AS VARCHAR) END AS so_number, p_partkey % 9 = 0 AS bad FROM part),
+SQL["cmd_create_sales_orders"] = f"""WITH {VIEWS}, b AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 11 = 0 THEN -1 ELSE p_partkey % 100 END AS case_id, CASE WHEN p_partkey % 4 = 0 THEN '10TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') ELSE 'NEW-' || CAST(p_partkey // 2 AS VARCHAR) END AS so_number, p_partkey % 9 = 0 AS bad FROM part),
 r AS (SELECT seq, so_number, CASE WHEN bad THEN 'so_month' WHEN so_number IN (SELECT so_number FROM sales_orders) THEN 'sales order exists' WHEN case_id NOT IN (SELECT id FROM cases) THEN 'case not found' END AS r FROM b)
 SELECT seq, so_number, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY so_number, r IS NULL ORDER BY seq) > 1 THEN 'sales order exists' ELSE r END AS reject_reason FROM r"""
 
@@ -309,7 +247,7 @@ def _uploads(s: SparkSession, d: str) -> DataFrame:
 
 
 register("cmd_upload_documents", "", lambda s, d: _uploads(s, d).select("seq", "reject_reason"))
-_SQL["cmd_upload_documents"] = f"""WITH {_VIEWS}, b AS (SELECT event_id AS seq, CASE WHEN event_id % 13 = 0 THEN -5 ELSE user_id END AS case_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 1000 END AS so, event_id % 17 = 0 AS txt, CASE WHEN event_id % 6 = 0 THEN 'same' ELSE sha256(CAST(event_id AS VARCHAR)) END AS checksum FROM events),
+SQL["cmd_upload_documents"] = f"""WITH {VIEWS}, b AS (SELECT event_id AS seq, CASE WHEN event_id % 13 = 0 THEN -5 ELSE user_id END AS case_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 1000 END AS so, event_id % 17 = 0 AS txt, CASE WHEN event_id % 6 = 0 THEN 'same' ELSE sha256(CAST(event_id AS VARCHAR)) END AS checksum FROM events),
 r AS (SELECT b.*, CASE WHEN txt THEN 'not a PDF' WHEN c.id IS NULL THEN 'case not found' WHEN so IS NULL THEN 'sales order required' WHEN s.id IS NULL THEN 'sales order not found' WHEN s.case_id <> b.case_id THEN 'sales order of another case' WHEN EXISTS (SELECT 1 FROM doc_files f WHERE f.case_id = b.case_id AND f.checksum = b.checksum) THEN 'duplicate file' END AS r
   FROM b LEFT JOIN cases c ON c.id = b.case_id LEFT JOIN sales_orders s ON s.id = so)
 SELECT seq, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reject_reason FROM r"""
@@ -317,12 +255,9 @@ SELECT seq, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, che
 register(
     "upload_acknowledgement", "", lambda s, d: C.acknowledged(_uploads(s, d).withColumn("document_type", F.lit("POD")), sales_orders(s, d), cases(s, d), BASE),
 )
-_SQL["upload_acknowledgement"] = f"""{_SQL["cmd_upload_documents"].rpartition("SELECT seq, CASE")[0]}, a AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reason FROM r)
+SQL["upload_acknowledgement"] = f"""{SQL["cmd_upload_documents"].rpartition("SELECT seq, CASE")[0]}, a AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reason FROM r)
 SELECT seq, 'Document uploaded successfully' AS message, substr(md5(a.checksum), 1, 8) || '_a.PDF' AS filename, '{BASE}/' || c.case_id || '/' || s.so_month || '/SO-' || s.so_number || '/POD/' || substr(md5(a.checksum), 1, 8) || '_a.PDF' AS storage_path, a.checksum
 FROM a JOIN sales_orders s ON s.id = a.so JOIN cases c ON c.id = a.case_id WHERE reason IS NULL"""
-register("cmd_audit_uploads", "", lambda s, d: C.audit_rows(_uploads(s, d), "DOCUMENT_UPLOADED", F.lit("Anonymous"), ["original_filename", "checksum"], sales_order_id=F.col("sales_order_id")))
-_SQL["cmd_audit_uploads"] = f"""{_SQL["cmd_upload_documents"].rpartition("SELECT seq, CASE")[0]}, a AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY case_id, checksum, r IS NULL ORDER BY seq) > 1 THEN 'duplicate file' ELSE r END AS reason FROM r)
-SELECT seq, 'DOCUMENT_UPLOADED' AS action, 'Anonymous' AS actor, '{{"original_filename":"' || CASE WHEN txt THEN 'a.txt' ELSE 'a.PDF' END || '","checksum":"' || checksum || '"}}' AS details, so AS sales_order_id FROM a WHERE reason IS NULL"""
 
 
 def _patches(s: SparkSession, d: str) -> DataFrame:
@@ -335,20 +270,16 @@ def _patches(s: SparkSession, d: str) -> DataFrame:
 
 
 register("cmd_update_cases", "", _patches)
-_SQL["cmd_update_cases"] = f"""WITH {_VIEWS}, b AS (SELECT s_suppkey AS k, s_suppkey % 4 = 0 AS set_status, s_suppkey % 4 = 1 AS set_name, s_suppkey % 4 > 1 AS set_rest, CASE WHEN s_suppkey % 8 <> 1 THEN s_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'OTHER' ELSE 'SERVICES' END AS kind, CASE WHEN s_suppkey % 8 <> 0 THEN CASE WHEN s_suppkey % 12 = 0 THEN 'LOST' ELSE 'CLOSED' END END AS st FROM supplier),
+SQL["cmd_update_cases"] = f"""WITH {VIEWS}, b AS (SELECT s_suppkey AS k, s_suppkey % 4 = 0 AS set_status, s_suppkey % 4 = 1 AS set_name, s_suppkey % 4 > 1 AS set_rest, CASE WHEN s_suppkey % 8 <> 1 THEN s_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'OTHER' ELSE 'SERVICES' END AS kind, CASE WHEN s_suppkey % 8 <> 0 THEN CASE WHEN s_suppkey % 12 = 0 THEN 'LOST' ELSE 'CLOSED' END END AS st FROM supplier),
 r AS (SELECT b.*, c.customer_name, c.case_type, c.status, c.notes, CASE WHEN c.id IS NULL THEN 'case not found' WHEN set_name AND name IS NULL THEN 'customer_name' WHEN set_rest AND kind = 'OTHER' THEN 'case_type' WHEN set_status AND st = 'LOST' THEN 'status' END AS reject_reason FROM b LEFT JOIN cases c ON c.id = k)
 SELECT k AS id, reject_reason, CASE WHEN set_name AND reject_reason IS NULL THEN name ELSE customer_name END AS new_customer_name, CASE WHEN set_rest AND reject_reason IS NULL THEN kind ELSE case_type END AS new_case_type, CASE WHEN set_status AND reject_reason IS NULL THEN st ELSE status END AS new_status, CASE WHEN set_rest AND reject_reason IS NULL THEN 'note' ELSE notes END AS new_notes FROM r"""
-register("cmd_audit_updates", "", lambda s, d: C.audit_rows(_patches(s, d).withColumn("seq", F.col("id")), "CASE_UPDATED", F.lit("System"), ["new_case_type"], case_id=F.col("id")))
-_SQL["cmd_audit_updates"] = f"""{_SQL["cmd_update_cases"].rpartition("SELECT k AS id")[0]} SELECT k AS seq, 'CASE_UPDATED' AS action, 'System' AS actor, '{{"new_case_type":"' || CASE WHEN set_rest THEN kind ELSE case_type END || '"}}' AS details, k AS case_id FROM r WHERE reject_reason IS NULL"""
 register(
     "cmd_rotate_documents", "SELECT id, n, CASE WHEN deg NOT IN (0, 90, 180, 270) THEN 'rotation' END AS reject_reason FROM (SELECT id, unnest([0, 1]) AS n, unnest([90, file_size % 100]) AS deg FROM doc_files)",
     lambda s, d: C.judged_turns(doc_files(s, d).select("id", F.posexplode(F.array(F.lit(90), F.col("file_size") % 100)).alias("n", "degrees"))).select("id", "n", "reject_reason"),
 )
-register(
-    "cmd_audit_deletes", "SELECT id AS seq, 'DOCUMENT_DELETED' AS action, 'System' AS actor, '{\"document_type\":\"POD\",\"checksum\":\"' || checksum || '\"}' AS details, case_id, sales_order_id FROM doc_files WHERE document_type = 'POD' AND rotation = 180",
-    lambda s, d: C.audit_rows(doc_files(s, d).where("document_type = 'POD' and rotation = 180").withColumns({"seq": F.col("id"), "reject_reason": F.lit(None).cast("string")}), "DOCUMENT_DELETED", F.lit("System"), ["document_type", "checksum"], case_id=F.col("case_id"), sales_order_id=F.col("sales_order_id")),
-)
 register("cmd_delete_documents", "SELECT checksum FROM doc_files WHERE NOT (document_type = 'POD' AND rotation = 180)", lambda s, d: C.delete(doc_files(s, d), doc_files(s, d).where("document_type = 'POD' and rotation = 180").select("checksum"), "checksum").select("checksum"))
-register("cmd_audit_rows", "", lambda s, d: C.audit_rows(_new_cases(s, d), "CASE_CREATED", F.lit("System"), ["case_id", F.col("normalized").alias("opportunity_id")]))
-_SQL["cmd_audit_rows"] = f"""WITH {_VIEWS}, {_NEW_CASES.rpartition("SELECT seq, normalized")[0]}
-SELECT seq, 'CASE_CREATED' AS action, 'System' AS actor, '{{"case_id":"CASE-{YEAR}-' || CASE WHEN number < 10000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END || '","opportunity_id":"' || normalized || '"}}' AS details FROM n WHERE reject_reason IS NULL"""
+
+# Queries of other modules register themselves.
+from docketry.plans import extended  # noqa: E402
+
+__all__ = ["extended", "oracle_sql", "queries"]

@@ -76,6 +76,14 @@ def create_sales_orders(cases: DataFrame, orders: DataFrame, batch: DataFrame) -
     return _without_repeats(wanted.withColumn("reject_reason", bad).drop("_taken", "_case"), "sales order exists", "so_number")
 
 
+def upload_reason(known: Column) -> Column:
+    """Why an upload is rejected, in the order of the original's checks, given _case, _owner and whether its file is known."""
+    return _first(
+        (~F.coalesce(F.lower("original_filename").endswith(".pdf"), F.lit(False)), "not a PDF"), (F.col("_case").isNull(), "case not found"), (F.col("sales_order_id").isNull(), "sales order required"),
+        (F.col("_owner").isNull(), "sales order not found"), (F.col("_owner") != F.col("case_id"), "sales order of another case"), (known, "duplicate file"),
+    )
+
+
 def upload_documents(cases: DataFrame, orders: DataFrame, documents: DataFrame, batch: DataFrame) -> DataFrame:
     """Requests (seq, case_id, sales_order_id, original_filename, checksum) with reason, checked in the order of the original."""
     known = batch.join(cases.select(F.col("id").alias("case_id"), F.lit(True).alias("_case")), "case_id", "left")
@@ -84,11 +92,7 @@ def upload_documents(cases: DataFrame, orders: DataFrame, documents: DataFrame,
     asked = batch.select("case_id", "checksum").distinct()
     same = documents.select("case_id", "checksum").join(asked, ["case_id", "checksum"], "left_semi").distinct()
     known = known.join(same.withColumn("_same", F.lit(True)), ["case_id", "checksum"], "left")
-    bad = _first(
-        (~F.coalesce(F.lower("original_filename").endswith(".pdf"), F.lit(False)), "not a PDF"), (F.col("_case").isNull(), "case not found"), (F.col("sales_order_id").isNull(), "sales order required"),
-        (F.col("_owner").isNull(), "sales order not found"), (F.col("_owner") != F.col("case_id"), "sales order of another case"), (F.col("_same").isNotNull(), "duplicate file"),
-    )
-    return _without_repeats(known.withColumn("reject_reason", bad).drop("_case", "_owner", "_same"), "duplicate file", "case_id", "checksum")
+    return _without_repeats(known.withColumn("reject_reason", upload_reason(F.col("_same").isNotNull())).drop("_case", "_owner", "_same"), "duplicate file", "case_id", "checksum")
 
 
 def acknowledged(judged: DataFrame, orders: DataFrame, cases: DataFrame, base: str) -> DataFrame:

@@ -17,7 +17,7 @@ def staged_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files put into a staging folder, as a stream: original_filename, content, checksum and file_size of each PDF, whatever its letter case."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
-    return files.select("path", name.alias("original_filename"), "content", F.sha2("content", 256).alias("checksum"), F.col("length").alias("file_size"))
+    return files.select("path", name.alias("original_filename"), "content", F.sha2("content", 256).alias("checksum"), F.col("length").alias("file_size"), F.col("modificationTime").alias("stored_at"))
 
 
 def ingest_uploads(requests: DataFrame, cases: DataFrame, orders: DataFrame, accepted_path: str, rejected_path: str, audit_path: str, checkpoint: str, documents: DataFrame | None = None) -> StreamingQuery:

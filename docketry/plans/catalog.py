@@ -32,8 +32,8 @@ register("proj_document_response", f"SELECT id, filename, storage_path, {', '.jo
 
 def _json(name: str, view: str, table: Query, columns: tuple[str, ...], times: tuple[str, ...] = ()) -> None:
     """The client's JSON of every row of a table, with the names that it gives the columns."""
-    packed = ", ".join([f"{S.camel(c)} := {c}" for c in columns] + [f"{S.camel(c)} := strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in times])
-    shown = lambda s, d: table(s, d).select(*columns, *[_AT(c) for c in times])
+    packed = ", ".join([f"{S.camel(c)} := {'CAST(details AS JSON)' if c == 'details' else c}" for c in columns] + [f"{S.camel(c)} := strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in times])
+    shown = lambda s, d: table(s, d).select(*[F.parse_json(c).alias(c) if c == "details" else F.col(c) for c in columns], *[_AT(c) for c in times])
     register(name, f"SELECT id, CAST(to_json(struct_pack({packed})) AS VARCHAR) AS body FROM {view}", lambda s, d: (df := shown(s, d)).select("id", S.response_json(df, *df.columns).alias("body")))
 
 
@@ -182,11 +182,11 @@ def _docs_last_month(s: SparkSession, d: str) -> DataFrame:
 # Pages.
 register("audit_page", f"SELECT {_LOG.replace('AS created_at', 'AS created_at')} FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET 100)", lambda s, d: P.audit_page(audit_logs(s, d), 50, 100).select(*_LOG_COLS, _AT("created_at")))
 register("audit_page_window", "SELECT count(*) AS total, CAST(101 AS BIGINT) AS first, least(150, count(*)) AS last, true AS has_previous, 150 < count(*) AS has_next FROM audit_logs", lambda s, d: P.page_window(audit_logs(s, d), 50, 100))
-_ENTRY = "id := id, case_id := case_id, document_id := document_id, sales_order_id := sales_order_id, action := action, actor := actor, details := details, created_at := strftime(created_at, '%Y-%m-%d %H:%M:%S')"
+_ENTRY = "id := id, case_id := case_id, document_id := document_id, sales_order_id := sales_order_id, action := action, actor := actor, details := CAST(details AS JSON), created_at := strftime(created_at, '%Y-%m-%d %H:%M:%S')"
 register(
     "audit_envelope", f"""SELECT (SELECT count(*) FROM audit_logs) AS total, 50 AS "limit", 100 AS "offset", CAST(to_json(list(struct_pack({_ENTRY}) ORDER BY created_at DESC, id DESC)) AS VARCHAR) AS logs
     FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET 100)""",
-    lambda s, d: P.envelope(audit_logs(s, d).select("id", "case_id", "document_id", "sales_order_id", "action", "actor", "details", "created_at"), 50, 100).withColumn("logs", F.to_json(F.transform("logs", lambda x: x.withField("created_at", F.date_format(x["created_at"], "yyyy-MM-dd HH:mm:ss"))), {"ignoreNullFields": "false"})),
+    lambda s, d: P.envelope(audit_logs(s, d).select("id", "case_id", "document_id", "sales_order_id", "action", "actor", "details", "created_at"), 50, 100).withColumn("logs", F.to_json(F.transform("logs", lambda x: x.withField("details", F.parse_json(x["details"])).withField("created_at", F.date_format(x["created_at"], "yyyy-MM-dd HH:mm:ss"))), {"ignoreNullFields": "false"})),
 )
 
 # Integrity and commands. Batches are made from the tables, so that they grow with them.

@@ -8,8 +8,11 @@ from docketry.operators import cascade as D
 from docketry.operators import checklist as K
 from docketry.operators import commands as C
 from docketry.operators import nested as N
+from docketry.operators.deltas import Statistics
+from docketry.operators.paging import PagedLog
 from docketry.operators.trigrams import TrigramIndex
 from docketry.plans.registry import listed, register
+from docketry.sources import clustered
 from docketry.sources.store import StoredTable, scratch
 from docketry.sources.tables import BASE, CASES, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
 
@@ -235,3 +238,51 @@ register(
     "json_listed_orders", _with(_FILES, f"SELECT s.id, CAST(to_json(struct_pack(id := s.id, caseId := s.case_id, soNumber := so_number, soMonth := so_month, createdAt := {_TEXT_SQL('created_at')}, updatedAt := {_TEXT_SQL('updated_at')}, documentCount := coalesce(len(documents), 0), checklist := {_CHECK(ORDER_TYPES, 'coalesce(types, [])')})) AS VARCHAR) AS body FROM sales_orders s LEFT JOIN files f ON f.sales_order_id = s.id"),
     lambda s, d: (df := N.listed_orders(sales_orders(s, d).withColumns({"created_at": _TEXT("created_at"), "updated_at": _TEXT("updated_at")}), doc_files(s, d))).select("id", N.body(df).alias("body")),
 )
+
+# What is kept beside the tables: statistics as deltas, the trail in ranges, cases and orders in clustered files.
+AS_OF = "1998-08-20"
+
+
+def _kept_statistics(s: SparkSession, d: str) -> DataFrame:
+    """All rows in a first batch; then deletions, new cases and closed ones."""
+    stats, documents = Statistics(s, scratch(s, "statistics")), doc_files(s, d)
+    stats.add(0, {"cases": cases(s, d), "sales_orders": sales_orders(s, d), "documents": documents})
+    stats.add(1, went={"documents": documents.where("document_type = 'POD' and rotation = 180")})
+    stats.compact(1)
+    closed = cases(s, d).where("id % 4 = 0")
+    stats.add(2, {"cases": closed.withColumn("status", F.lit("CLOSED"))}, {"cases": closed})
+    return stats.overview(AS_OF)
+
+
+_LEFT = "docs AS (SELECT * FROM doc_files WHERE NOT (document_type = 'POD' AND rotation = 180)), now AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'CLOSED' ELSE status END AS status FROM cases)"
+_EACH = ", ".join(f"count(*) FILTER (document_type = '{t}') AS n_{t.lower()}" for t in DOCUMENT_TYPES)
+register(
+    "stats_from_deltas", _with(_LEFT, f"""SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (status = 'OPEN') AS open_cases, count(*) FILTER (status = 'IN_PROGRESS') AS in_progress_cases, count(*) FILTER (status = 'CLOSED') AS closed_cases FROM now), (SELECT count(*) AS total_sales_orders FROM sales_orders),
+    (SELECT count(*) AS total_documents, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_bytes, count(*) FILTER (uploaded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS recent_uploads, {_EACH}, coalesce(round_even(CAST(sum(file_size) AS DOUBLE) / 1048576, 2), 0) AS total_mb FROM docs)"""),
+    _kept_statistics,
+)
+
+
+def _deep_page(s: SparkSession, d: str) -> DataFrame:
+    """The page at nine tenths of the trail."""
+    log, rows = PagedLog(s, scratch(s, "trail"), range_rows=1000), audit_logs(s, d)
+    log.add(0, rows)
+    return log.page(50, int(log.total() * 9 // 10)).select("id", "case_id", "action", "actor", _TEXT("created_at"))
+
+
+register("audit_deep_page", f"SELECT id, case_id, action, actor, {_TEXT_SQL('created_at')} AS created_at FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM audit_logs))", _deep_page)
+
+
+def _clustered(s: SparkSession, table: DataFrame, key: str) -> str:
+    path = scratch(s, "clustered")
+    clustered.write(table, path, key, ("id",))
+    return path
+
+
+register("lookup_case_by_key", f"SELECT {', '.join(_CASE)} FROM cases WHERE case_id = 'CASE-2026-0042'", lambda s, d: clustered.find(s, _clustered(s, cases(s, d), "case_id"), "case_id", "CASE-2026-0042").select(*_CASE))
+register("lookup_case_by_id", f"SELECT {', '.join(_CASE)} FROM cases WHERE id = 42", lambda s, d: clustered.find(s, _clustered(s, cases(s, d), "case_id"), "id", 42).select(*_CASE))
+register("lookup_so_by_number", f"SELECT {', '.join(_SO)} FROM sales_orders WHERE so_number = '10TM0000000077'", lambda s, d: clustered.find(s, _clustered(s, sales_orders(s, d), "so_number"), "so_number", "10TM0000000077").select(*_SO))
+register(
+    "lookup_docs_of_orders", "SELECT id, sales_order_id, document_type, checksum FROM doc_files WHERE sales_order_id IN (1, 77, 1234)",
+    lambda s, d: clustered.find_many(s, _clustered(s, doc_files(s, d), "sales_order_id"), "sales_order_id", [1, 77, 1234]).select("id", "sales_order_id", "document_type", "checksum"),
+)

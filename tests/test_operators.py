@@ -164,3 +164,9 @@ def test_jdbc_reads_by_ranges(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
     one = got.where("ID = 42")
     assert [tuple(r) for r in one.collect()] == [(42, 84)] and "PushedFilters: [*IsNotNull(ID), *EqualTo(ID,42)]" in one._jdf.queryExecution().toString()
+
+
+def test_queries_that_are_too_short_find_nothing(spark, cases):
+    orders = spark.createDataFrame([(1, "SO12")], "id long, so_number string")
+    ids = lambda q, kind: [r.id for r in L.asked_search(cases, orders, q, kind).collect()]
+    assert ids(" y-1 ", "opportunity") == [0] and ids(" 1 ", "opportunity") == [] and ids("o12", "sales_order") == [1] and ids("12 ", "sales_order") == []

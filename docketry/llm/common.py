@@ -43,7 +43,7 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     for it, so the work before runs in as many tasks as it would without.
     """
     shared_dir(df.sparkSession)
-    return (df if parts is None else df.coalesce(1) if parts == 1 else df.repartition(parts)).checkpoint()
+    return (df if parts is None else df.repartition(parts)).checkpoint()
 
 
 def cores(spark: SparkSession) -> int:

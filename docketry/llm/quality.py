@@ -18,8 +18,9 @@ SHRINK = 20
 REJECT = 1e-5
 #: Share of a normal population that the last estimate is made from.
 REWEIGHTED = 0.975
-#: Concentration steps at most; they end when no group's determinant falls any more.
-STEPS = 8
+#: A group's concentration ends with the step by which its determinant's root falls by less than this, on a log scale. It can't fall below
+#: that of the least spreads, so every group ends.
+SETTLED = 1e-3
 #: The statistics that are compared. Least spread of each: in most groups most documents have no symbols or repeats at all, and a
 #: covariance of these is singular. Sampling spread of a document of one word, which falls with the root of its length: symbols come as a
 #: Poisson count, whose square root has spread 1/2; repeats come some words at a time; word lengths differ by about half, on a log scale.
@@ -106,12 +107,12 @@ def _distance(names: list[str], spread: dict[str, tuple[float, float]], length:
     return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
-def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float, float]], length: str = "n_words", coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float, float]], length: str = "n_words", coverage: float = COVERAGE) -> DataFrame:
     """rows with `distance`: the squared robust Mahalanobis distance from the row's group; null where the group has no fitted row.
 
     `fit` (boolean) says which rows an estimate is made from, the keys of `spread` are the statistics, each with its least and its sampling spread.
     The minimum covariance determinant is approached by concentration: take the `coverage` share of rows nearest to the current
-    estimate, estimate their mean and covariance, and repeat until no determinant falls. It starts from the medians and absolute deviations and from
+    estimate, estimate their mean and covariance, and repeat until the group's determinant falls no more. It starts from the medians and absolute deviations and from
     the mean and covariance of all rows; of both ends the one of the smaller determinant counts, and is estimated once more from all rows within the
     REWEIGHTED quantile. Estimates are made of each group and of its first column's group, and a
     group's own, by its rows, is averaged with that of the latter, by SHRINK rows. Everything is sums and sketched quantiles by group; a group's
@@ -128,27 +129,33 @@ def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float,
     # A row of parameters for each group and start: their number, and so whether they are broadcast, is found once.
     few = 4 * keyed.select("_k0", "_k1").distinct().count() <= BROADCAST_ROWS
     hinted = lambda df: F.broadcast(df) if few else df
-    near = lambda df, params, on: df.join(hinted(params), on).withColumn("_d", _distance(names, spread, F.col(length)))
+    # Expressions go by names, so they are put together once for all steps.
+    away, factored = _distance(names, spread, F.col(length)), _factor(names, spread)
+    near = lambda df, params, on: df.join(hinted(params), on).withColumn("_d", away)
     consistent = lambda factor: {f"c_{j}_{i}": factor * F.col(f"c_{j}_{i}") for i, j in pairs}
 
-    def determined(params: DataFrame, factor: float) -> DataFrame:
+    det = sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0"))
+
+    def determined(params: DataFrame, scaled: dict[str, Column]) -> DataFrame:
         """params with their covariances made consistent, factored, and `det`, the logarithm of the determinant's root."""
-        known = cut(params.withColumns(consistent(factor)).withColumns(_factor(names, spread)), 1)
-        return known.withColumn("det", sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0")))
+        return cut(params.withColumns(scaled).withColumns(factored).withColumn("det", det), 1)
 
     middle = cut(levels.groupBy("_k0", "_k1").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m_{i}") for i, a in enumerate(names)]), 1)
     off = levels.join(hinted(middle), ["_k0", "_k1"]).groupBy("_k0", "_k1").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 10000).alias(f"d_{i}") for i, a in enumerate(names)])
     first = off.join(middle, ["_k0", "_k1"]).select("_k0", "_k1", F.lit(0).alias("_start"), *[f"m_{i}" for i in range(len(names))], *[(F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{j}_{i}") for i, j in pairs])
-    params = determined(first.unionByName(levels.groupBy("_k0", "_k1").agg(F.lit(1).alias("_start"), *means, *covs)), 1.0)
+    params = determined(first.unionByName(levels.groupBy("_k0", "_k1").agg(F.lit(1).alias("_start"), *means, *covs)), consistent(1.0))
     # Of a normal population's covariance, the nearest share shows this part.
     part = lambda share: share / _chi2_cdf(chi2_quantile(share, len(names)), len(names) + 2)
-    for step in range(steps):
+    settled, step, core = None, 0, consistent(part(coverage))
+    while step == 0 or not params.isEmpty():  # only groups that still fall are in params, and only their rows are joined
         limit = cut(near(fitted, params, key).groupBy(*key).agg(F.percentile_approx("_d", coverage, 10000).alias("_limit")), 1)
-        moved = determined(near(fitted, params.join(limit, key), key).where("_d <= _limit").groupBy(*key).agg(*means, *covs), part(coverage))
-        fell = params.select(*key, F.col("det").alias("_before")).join(moved, key).agg(F.max(F.col("_before") - F.col("det"))).first()[0]
-        params = moved
-        if step and (fell is None or fell < 1e-3):
-            break
+        inside = near(fitted, params.join(limit, key), key).where("_d <= _limit").groupBy(*key)
+        moved = determined(inside.agg(*means, *covs, F.any_value("det").alias("_before")), core)
+        fell = F.col("_before") - F.col("det")
+        falls = F.lit(step == 0) | F.coalesce((fell >= SETTLED) & ~F.isnan(fell), F.lit(False))
+        ended = moved.where(~falls).drop("_before")
+        settled, params, step = ended if settled is None else settled.unionByName(ended), moved.where(falls).drop("_before"), step + 1
+    params = cut(settled, 1)
     held = [c for c in params.columns if c not in (*key, "det")]
     best = params.groupBy("_k0", "_k1").agg(F.min_by(F.struct(*held), F.struct("det", "_start")).alias("_p")).select("_k0", "_k1", "_p.*")
     inside = near(levels, cut(best, 1), ["_k0", "_k1"]).where(F.col("_d") <= chi2_quantile(REWEIGHTED, len(names)))
@@ -157,7 +164,7 @@ def outliers(rows: DataFrame, groups: list[str], spread: dict[str, tuple[float,
     whole = last.where("_k1 = '*'").select(F.col("_k0").alias("_w"), *[F.col(c).alias(f"_{c}") for c in moments])
     share = F.col("_n") / (F.col("_n") + SHRINK)
     mixed = last.where("_k1 <> '*'").join(whole, F.col("_k0") == F.col("_w")).select("_k0", "_k1", *[(share * F.col(c) + (1 - share) * F.col(f"_{c}")).alias(c) for c in moments])
-    final = cut(mixed.withColumns(_factor(names, spread)), 1)
+    final = cut(mixed.withColumns(factored), 1)
     found = keyed.join(hinted(final), ["_k0", "_k1"], "left")
     return found.select(*rows.columns, _distance(names, spread, F.greatest(F.col(length), F.lit(1))).alias("distance"))
 

@@ -79,11 +79,11 @@ def token_features(token: str) -> list[str]:
     if ordinary(token):
         return ["ordinary", f"ordinary.len={min(8, n // 4)}"]
     digits, uppers, lowers = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token))
-    shape = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "x" if c.isalpha() else c for c in token[:256])
+    shape = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "x" if c.isalpha() else c for c in token)
     runs = re.sub(r"(.)\1+", r"\1", shape)
     kinds = f"{int(digits > 0)}{int(uppers > 0)}{int(lowers > 0)}{int(digits + uppers + lowers < n)}"
     return [
-        "bias", f"len={min(12, n // 4)}", f"kinds={kinds}", f"kinds.len={kinds}.{min(6, n // 8)}", f"runs={min(8, 10 * len(runs) // min(n, 256))}", f"digits={5 * digits // n}",
+        "bias", f"len={min(12, n // 4)}", f"kinds={kinds}", f"kinds.len={kinds}.{min(6, n // 8)}", f"runs={min(8, 10 * len(runs) // n)}", f"digits={5 * digits // n}",
         f"distinct={min(6, len(set(token)) // 4)}", f"head={shape[:4]}", f"start={token[:3]}", f"bumps={min(5, runs.count('aA'))}", f"kinds.bumps={kinds}.{min(5, runs.count('aA'))}",
         f"ascii={token.isascii()}", f"mail={'@' in token and '.' in token[token.index('@') :]}", f"path={'/' in token[:2] or '://' in token}",
     ]
@@ -91,7 +91,8 @@ def token_features(token: str) -> list[str]:
 
 def near_word(token: str) -> str:
     """What a token is to the tokens after it: its last word."""
-    return next(iter(re.findall(r"[a-z]+", token.lower())[-1:]), "") if len(token) <= CACHED_LENGTH else ""
+    last = re.search("[a-z]+", token.lower()[::-1])
+    return last[0][::-1] if last else ""
 
 
 def sign_features(sign: str, word: str) -> list[str]:

@@ -58,7 +58,7 @@ def brute_distances(x, n, spread, whole=None):
     mad = np.array([rank(c, 0.5) for c in np.abs(x - middle).T])
     ends = []
     for m, c in ((middle, np.diag((1.4826 * mad) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
-        for _ in range(Q.STEPS):
+        for _ in range(60):  # to the end
             d = distance(m, c)
             core = x[d <= rank(d, Q.COVERAGE)]
             m, c = core.mean(axis=0), part(Q.COVERAGE) * np.cov(core.T, bias=True)

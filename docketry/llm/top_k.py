@@ -16,6 +16,8 @@ from docketry.llm.vectors import matrix, products, usable
 DATA_ROWS, QUERY_ROWS, DATA_LEAF, QUERY_LEAF = 2048, 256, 128, 32
 #: Children of a node at most, and vectors that the top of the tree is fitted to at most: it decides where rows lie, not what is found.
 FAN, SAMPLE, CELLS = 16, 8192, 512
+#: Children of a node at the top, few so that a cell holds blocks of about DATA_ROWS rows.
+TOP_FAN = 4
 #: Blocks that each group of queries meets first, to know how good its answers are at least.
 FIRST = 3
 NONE, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -265,7 +267,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     share = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").limit(SAMPLE).toArrow()
     fitted = matrix(sample.column(0).combine_chunks(), d, scale) if len(sample) else np.zeros((1, d), np.int64)
-    top = build(fitted, max(1, -(-len(fitted) // max(1, min(CELLS // FAN, n // DATA_ROWS)))))
+    top = build(fitted, max(1, -(-len(fitted) // max(1, min(CELLS // TOP_FAN, n // DATA_ROWS)))), TOP_FAN)
     path = scratch(spark, "cover-tree")
     ask = rows.where("_query").dropDuplicates(["id", "vector"])
     _blocks(_placed(rows.select("id", "vector"), d, scale, top), d, scale, n // (4 * DATA_ROWS) + 1, DATA_ROWS, DATA_LEAF, True).write.parquet(f"{path}/data")

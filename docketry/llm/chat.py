@@ -96,7 +96,10 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from its formatted text, and of a planted one with markup in its texts."""
+    """Digests of every conversation, read back from its formatted text, and of a planted one with markup in its texts.
+
+    Rows of the table that have the planted one's id are turns of the same conversation, in order of turn, role and text.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docketry.llm import sharding as S
 
@@ -32,11 +33,13 @@ def test_few_keys_move():
 
 def test_query(spark, sf_dir):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    keys = {x.doc_id: x.key for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("key")).collect()}
     rows = S.op8_jump_shards(spark, sf_dir).collect()
     slots = {}
     for x in rows:
         data = texts[x.doc_id].encode()
         assert (x["size"], x.text_crc32, x.law) == (len(data) + 8, zlib.crc32(data), "key")
+        assert (x.shard, x.grown_shard) == (jump_one(keys[x.doc_id], 24), jump_one(keys[x.doc_id], 25))
         assert x.grown_shard in (x.shard, 24)
         slots.setdefault(x.shard, []).append(x.slot)
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())

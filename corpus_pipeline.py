@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and one of rows equal in id and text; those of null ids are kept."""
+    """One document of each group of near duplicates, and one of rows equal in id and text, null ids included."""
     kept = near_duplicates(docs).where("kept").select("doc_id", "text_hash")
     return _kept(docs, kept).groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
 

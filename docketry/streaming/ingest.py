@@ -1,4 +1,7 @@
-"""Upload requests as a stream: each micro-batch goes through the batch command."""
+"""Upload requests as a stream: each micro-batch goes through the batch command, against all that was accepted before.
+
+uploads.ingest does the same with keyed state, whose work doesn't grow with the age of the stream, and joins requests to their files.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -10,7 +10,7 @@ GROUP_BYTES = 8 << 20
 
 
 def write(df: DataFrame, path: str, key: str, filtered: tuple[str, ...] = (), files: int | None = None, group_bytes: int = GROUP_BYTES) -> None:
-    """Ranges of the key, sorted within: a file's and row group's least and largest key tell most lookups to pass it over.
+    """Ranges of the key and then of `filtered`, sorted within, so rows of one key, or without one, are as many files as their number asks for: a file's and row group's least and largest key tell most lookups to pass it over.
 
     The columns in `filtered`, which lie about in that order, get a Bloom filter in each row group, sized for as many values as a file has rows.
     """
@@ -20,8 +20,9 @@ def write(df: DataFrame, path: str, key: str, filtered: tuple[str, ...] = (), fi
         each = max(1, -(-rows // max(1, files or 1)))
         for c in filtered:
             options |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(min(each, 100_000))}
-    dealt = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
-    dealt.sortWithinPartitions(key).write.mode("overwrite").options(**options).parquet(path)
+    order = (key, *(c for c in filtered if c != key))
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").options(**options).parquet(path)
 
 
 def find(spark: SparkSession, path: str, column: str, value: object) -> DataFrame:

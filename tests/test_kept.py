@@ -10,7 +10,7 @@ from docketry.operators import aggregates as A
 from docketry.operators.deltas import Statistics
 from docketry.operators.paging import PagedLog, audit_page
 from docketry.sources import clustered
-from docketry.sources.tables import audit_logs, cases, doc_files, sales_orders
+from docketry.sources.tables import audit_logs, cases, doc_files, doc_keys, order_files, sales_orders
 from tests.test_trigrams import rows_read
 
 LOG = "id long, case_id long, action string, created_at timestamp_ntz"
@@ -85,3 +85,11 @@ def test_lookups_skip_files(spark, tmp_path):
     by_id = clustered.find_many(spark, path, "id", [42 * 7919 % 1_000_003, 30_000 * 7919 % 1_000_003])
     assert {r.case_id for r in by_id.collect()} == {"CASE-2026-00042", "CASE-2026-30000"} and rows_read(by_id) <= 2 * 40_000 / 10
     assert clustered.find(spark, path, "id", -1).count() == 0
+
+
+def test_rows_without_a_key_fill_many_files(spark, tmp_path):
+    path = str(tmp_path / "c")
+    clustered.write(spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("order")), path, "order", ("id",), files=8)
+    rows = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 5000
+    assert [r.id for r in clustered.find(spark, path, "order", 42).collect()] == [42]

@@ -13,7 +13,7 @@ from docketry.operators import commands as C
 from docketry.operators import lookups as L
 from docketry.operators import paging as P
 from docketry.plans.registry import SQL, VIEWS, Query, listed, oracle_sql, queries, register
-from docketry.sources.tables import BASE, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
+from docketry.sources.tables import BASE, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, doc_keys, order_files, raw, sales_orders
 
 #: Time is an argument, never the clock.
 AS_OF, YEAR = "2001-11-04", 2026
@@ -133,7 +133,7 @@ register("case_by_opportunity", f"SELECT {', '.join(_CASE)} FROM cases WHERE opp
 register("so_by_id", f"SELECT {_SO} FROM sales_orders WHERE id = 77", lambda s, d: L.by_key(sales_orders(s, d), "id", 77).select(*_SO_COLS))
 register("so_by_number", f"SELECT {_SO} FROM sales_orders WHERE so_number = '10TM0000000077'", lambda s, d: L.by_key(sales_orders(s, d), "so_number", "10TM0000000077").select(*_SO_COLS))
 _FIRST = "SELECT min(id) AS c FROM doc_files"
-register("document_by_id", f"SELECT id, filename, storage_path, {', '.join(_DOC)}, checksum FROM doc_files WHERE id = ({_FIRST})", lambda s, d: doc_files(s, d).join(doc_files(s, d).agg(F.min("id").alias("_c")), F.col("id") == F.col("_c")).select("id", "filename", "storage_path", *_DOC, "checksum"))
+register("document_by_id", f"SELECT id, filename, storage_path, {', '.join(_DOC)}, checksum FROM doc_files WHERE id = ({_FIRST})", lambda s, d: doc_files(s, d).where(F.col("id") == doc_keys(s, d).agg(F.min("id")).scalar()).select("id", "filename", "storage_path", *_DOC, "checksum"))
 register("search_opportunity", f"SELECT {', '.join(_CASE)} FROM cases WHERE opportunity_id ILIKE '%ky-1%' ORDER BY opportunity_id LIMIT 20", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "ky-1", "opportunity").select(*_CASE))
 register("search_so_global", f"SELECT {_SO} FROM sales_orders WHERE so_number ILIKE '%tm%12%' ORDER BY so_number LIMIT 20", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "tm%12", "sales_order").select(*_SO_COLS))
 register("search_unknown_type", f"SELECT {', '.join(_CASE)} FROM cases WHERE false", lambda s, d: L.global_search(cases(s, d), sales_orders(s, d), "x", "other").select(*_CASE))
@@ -193,7 +193,7 @@ register(
 register("duplicate_files", "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1", lambda s, d: raw(s, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("checksum")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"))
 register(
     "so_case_mismatch", "SELECT d.checksum FROM doc_files d JOIN sales_orders s ON s.id = d.sales_order_id WHERE s.case_id <> d.case_id + CASE WHEN d.rotation = 180 THEN 1 ELSE 0 END",
-    lambda s, d: doc_files(s, d).withColumn("_claimed", F.col("case_id") + F.when(F.col("rotation") == 180, 1).otherwise(0)).join(sales_orders(s, d).select(F.col("id").alias("_so"), F.col("case_id").alias("_owner")), F.col("sales_order_id") == F.col("_so")).where("_owner <> _claimed").select("checksum"),
+    lambda s, d: order_files(s, d).withColumn("_claimed", F.col("case_id") + F.when(F.col("rotation") == 180, 1).otherwise(0)).join(sales_orders(s, d).select(F.col("id").alias("_so"), F.col("case_id").alias("_owner")), F.col("sales_order_id") == F.col("_so")).where("_owner <> _claimed").select("checksum"),
 )
 register("orphans_check", "SELECT (SELECT count(*) FROM sales_orders s WHERE NOT EXISTS (SELECT 1 FROM cases c WHERE c.id = s.case_id)) AS orders_without_case, (SELECT count(*) FROM doc_files d WHERE sales_order_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sales_orders s WHERE s.id = d.sales_order_id)) AS documents_without_order", lambda s, d: C.orphans(sales_orders(s, d), doc_files(s, d), cases(s, d)))
 

@@ -1,6 +1,6 @@
 """The four domain tables, as views over the star-schema tables of a data folder."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,22 +58,42 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("l_linenumber")
-    kind = F.when(line == 2, "VENDOR_INVOICE").when(line == 3, "VENDOR_DC").when(line == 4, "COMPANY_INVOICE").when(line == 5, "COMPANY_DC").when(line == 6, "POD").otherwise("CUSTOMER_PO")
+def _checksum() -> Column:
+    """The SHA-256 of a line, in hex."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
     parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
     parts += [cents(c) for c in ("l_extendedprice", "l_discount", "l_tax")] + [F.col("l_returnflag"), F.col("l_linestatus"), F.substring(F.col("l_shipdate").cast("string"), 1, 10)]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_files(spark, raw(spark, sf_dir, "lineitem"), sf_dir, F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")))
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are filed under an order. Their order is a plain column, so Spark sees that they lie by it and joins orders without dealing the documents out again."""
+    return _doc_files(spark, raw(spark, sf_dir, "lineitem").where("l_linenumber <> 7"), sf_dir, F.col("l_orderkey"))
+
+
+def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, case_id and sales_order_id of every document. Ids are made before the join, so 8 bytes of a document are shuffled and not the ten columns that its checksum is made of."""
+    lines = raw(spark, sf_dir, "lineitem").select(file_id(_checksum()).alias("id"), "l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")).alias("sales_order_id"))
+    owners = raw(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"))
+    return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "case_id", "sales_order_id")
+
+
+def _doc_files(spark: SparkSession, lines: DataFrame, sf_dir: str, filed: Column) -> DataFrame:
+    line = F.col("l_linenumber")
+    kind = F.when(line == 2, "VENDOR_INVOICE").when(line == 3, "VENDOR_DC").when(line == 4, "COMPANY_INVOICE").when(line == 5, "COMPANY_DC").when(line == 6, "POD").otherwise("CUSTOMER_PO")
     owners = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    checksum = F.sha2(F.concat_ws("|", *parts), 256)
-    joined = raw(spark, sf_dir, "lineitem").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     order, customer = F.col("l_orderkey"), F.col("o_custkey")
     case_key = F.concat(F.lit("CASE-2026-"), F.when(customer < 10000, F.lpad(customer.cast("string"), 4, "0")).otherwise(customer.cast("string")))
     number, month = F.concat(F.lit("10TM"), F.lpad(order.cast("string"), 10, "0")), F.substring(F.col("o_orderdate").cast("string"), 1, 7)
     name = F.concat(F.lower(kind), F.lit(" "), line.cast("string"), F.lit(".pdf"))
     stored = stored_filename(F.col("checksum"), name)
-    return joined.withColumn("checksum", checksum).select(
-        file_id(F.col("checksum")).alias("id"), customer.alias("case_id"), F.when(line != 7, order).alias("sales_order_id"), kind.alias("document_type"), stored.alias("filename"), name.alias("original_filename"),
+    return joined.withColumn("checksum", _checksum()).select(
+        file_id(F.col("checksum")).alias("id"), customer.alias("case_id"), filed.alias("sales_order_id"), kind.alias("document_type"), stored.alias("filename"), name.alias("original_filename"),
         F.when(line % 2 == 0, F.concat(F.lit("REF-"), F.col("l_partkey").cast("string"))).alias("reference_number"), storage_path(F.lit(BASE), case_key, month, number, kind, stored).alias("storage_path"),
         "checksum", F.floor("l_extendedprice").cast("int").alias("file_size"), ((line % 4) * 90).cast("int").alias("rotation"), F.col("l_shipdate").alias("uploaded_at"), F.lit("Anonymous").alias("uploaded_by"),
     )

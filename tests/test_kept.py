@@ -93,3 +93,12 @@ def test_rows_without_a_key_fill_many_files(spark, tmp_path):
     rows = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
     assert len(rows) == 8 and max(r["count"] for r in rows) < 5000
     assert [r.id for r in clustered.find(spark, path, "order", 42).collect()] == [42]
+
+
+def test_narrow_documents_are_the_documents(spark, sf_dir):
+    every = doc_files(spark, sf_dir)
+    some = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert some(doc_keys(spark, sf_dir)) == some(every.select("id", "case_id", "sales_order_id"))
+    assert some(order_files(spark, sf_dir)) == some(every.where("sales_order_id is not null").select(*order_files(spark, sf_dir).columns))
+    plan = doc_keys(spark, sf_dir).hint("merge")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2")  # below the join

@@ -10,8 +10,8 @@ from docketry.sources.store import Folder
 
 #: Letters of a piece; shorter queries are answered by a scan.
 LENGTH = 3
-#: Pieces whose postings are intersected, the rarest ones; the hits' values are compared anyway.
-PIECES = 3
+#: Postings that one task sorts and writes.
+TASK_POSTINGS = 1_000_000
 #: Where even the rarest piece is in more than this share of rows, a scan reads less than the index.
 COMMON = 0.5
 
@@ -55,7 +55,9 @@ class TrigramIndex:
         values = rows.select(F.col(self.key).alias("key"), each.alias("_e")).select("key", "_e.*").where("value is not null")
         postings = values.select("field", F.explode(pieces_of(F.col("value"))).alias("piece"), "key", "value")
         at = f"{self.path}/added/batch={number}"
-        postings.repartitionByRange("field", "piece", "key").sortWithinPartitions("field", "piece", "key").write.mode("overwrite").option("parquet.page.row.count.limit", self.page_rows).parquet(f"{at}/postings")
+        most = sum(F.coalesce(F.sum(F.greatest(F.length(F.col(f).cast("string")) - (LENGTH - 1), F.lit(0))), F.lit(0)) for f in self.fields)
+        tasks = -(-rows.agg(most.alias("n")).first()["n"] // TASK_POSTINGS) or 1
+        postings.repartitionByRange(tasks, "field", "piece", "key").sortWithinPartitions("field", "piece", "key").write.mode("overwrite").option("parquet.page.row.count.limit", self.page_rows).parquet(f"{at}/postings")
         rows.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/rows")
         counted = self.spark.read.parquet(f"{at}/postings").groupBy("field", "piece").agg(F.count("*").alias("n"))
         counted.repartitionByRange("field", "piece").sortWithinPartitions("field", "piece").write.mode("overwrite").parquet(f"{at}/pieces")
@@ -75,23 +77,25 @@ class TrigramIndex:
         return found
 
     def rarest(self, field: str, query: str) -> list[tuple[int, str]]:
-        """(rows, piece) of the query's pieces that the fewest rows hold; one that no row holds stands alone."""
+        """(rows, piece) of the query's pieces, those that the fewest rows hold first."""
         wanted = pieces_in(query)
         rows = self._read("pieces").where((F.col("field") == field) & _either("piece", wanted)).groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece of the query
         counts = {r.piece: r.n for r in rows}
-        return sorted((counts.get(p, 0), p) for p in wanted)[:PIECES]
+        return sorted((counts.get(p, 0), p) for p in wanted)
 
     def size(self) -> int:
         return self._read("rows").agg(F.sum("n")).first()[0]
 
     def candidates(self, field: str, query: str, pieces: list[str]) -> DataFrame:
-        """(key) of the rows whose field holds all of the pieces and then the query: their posting lists intersected, values verified."""
-        lists = self._read("postings").where((F.col("field") == field) & _either("piece", pieces))
+        """(key) of the rows whose field holds the query, out of the postings of the first of its pieces, which is to be the rarest.
+
+        Each posting carries its value, so it is verified where it is read: nothing is grouped or sorted, and no other piece's postings are read.
+        """
+        lists = self._read("postings").where((F.col("field") == field) & (F.col("piece") == pieces[0]) & F.col("value").ilike(f"%{query}%".replace("\\", "\\\\")))
         if self.folder.exists("removed"):
             gone = self.spark.read.parquet(f"{self.path}/removed").groupBy("key").agg(F.max("batch").alias("_gone"))
             lists = lists.join(gone, "key", "left").where(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone")))
-        both = lists.groupBy("key").agg(F.count("*").alias("_n"), F.any_value("value").alias("value")).where(F.col("_n") == len(pieces))
-        return both.where(F.col("value").ilike(f"%{query}%".replace("\\", "\\\\"))).select("key")
+        return lists.select("key")
 
     def keys(self, query: str, fields: tuple[str, ...] | None = None) -> DataFrame | None:
         """(key) of the rows that have the query in one of the fields; None where a scan reads less: no piece of three letters, or only common ones."""

@@ -74,5 +74,16 @@ def test_added_and_removed_rows(spark, stored, tmp_path):
     assert index.keys("zebra", ("name",)).count() == 1
 
 
+def test_tasks_sort_a_bounded_number_and_searches_group_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("docketry.operators.trigrams.TASK_POSTINGS", 1000)
+    rows = spark.range(2000).select(F.format_string("10TM%06d", "id").alias("number"))
+    index = TrigramIndex(spark, str(tmp_path / "i"), "number", ("number",))
+    index.add(0, rows)
+    written = spark.read.parquet(f"{tmp_path}/i/added/batch=0/postings").groupBy(F.input_file_name()).count()
+    assert max(r["count"] for r in written.collect()) < 2500
+    found = index.keys("tm%0012")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString() and {r.key for r in found.collect()} == {r.number for r in search(rows, ("number",), "tm%0012", "number", 2000).collect()}
+
+
 def test_pieces():
     assert pieces_in("Ab%cdEf_gh") == ["cde", "def"] and pieces_in("ab") == [] and pieces_in("aaaa") == ["aaa"]

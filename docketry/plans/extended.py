@@ -14,7 +14,7 @@ from docketry.operators.trigrams import TrigramIndex
 from docketry.plans.registry import listed, register
 from docketry.sources import clustered
 from docketry.sources.store import StoredTable, scratch
-from docketry.sources.tables import BASE, CASES, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, raw, sales_orders
+from docketry.sources.tables import BASE, CASES, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, doc_keys, raw, sales_orders
 
 YEAR, AT = 2026, "2026-02-01 00:00:00"
 _now = lambda: F.lit(AT).cast("timestamp_ntz")
@@ -117,7 +117,7 @@ judged AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY c
 named AS (SELECT *, (SELECT max(id) FROM doc_files) + row_number() OVER (ORDER BY seq) AS id, substr(md5(CAST(case_id AS VARCHAR) || '-' || checksum), 1, 8) || '_' || replace(original_filename, ' ', '_') AS filename FROM judged WHERE reject_reason IS NULL),
 rows AS (SELECT seq, id, case_id, sales_order_id, document_type, filename, original_filename, NULL::VARCHAR AS reference_number, '{BASE}/' || case_key || '/' || so_month || '/SO-' || so_number || '/' || document_type || '/' || filename AS storage_path,
   checksum, CAST(file_size AS INTEGER) AS file_size, 0 AS rotation, '{AT}' AS uploaded_at, coalesce(uploaded_by, 'Anonymous') AS uploaded_by FROM named)"""
-_new_documents = lambda s, d: C.document_rows(_filings(s, d), cases(s, d), sales_orders(s, d), doc_files(s, d), BASE, _now())
+_new_documents = lambda s, d: C.document_rows(_filings(s, d), cases(s, d), sales_orders(s, d), doc_keys(s, d), BASE, _now())
 register("cmd_judge_uploads", _with(_FILINGS, "SELECT seq, reject_reason FROM judged"), lambda s, d: _filings(s, d).select("seq", "reject_reason"))
 register("cmd_insert_documents", _with(_FILINGS, "SELECT * FROM rows"), lambda s, d: _new_documents(s, d).withColumn("uploaded_at", _TEXT("uploaded_at")))
 register("cmd_upload_replies", _with(_FILINGS, "SELECT seq, id, 'Document uploaded successfully' AS message, filename, storage_path, checksum FROM rows"), lambda s, d: C.upload_replies(_new_documents(s, d)))

@@ -38,28 +38,35 @@ class Deletion:
 def delete(tables: dict[str, DataFrame], start: dict[str, DataFrame], keys: tuple[ForeignKey, ...] = FOREIGN_KEYS) -> Deletion:
     """Delete rows of some tables (`start`: their ids) and what depends on them.
 
-    In rounds: the children of what went in the last one, by a semi-join for each key, less what is gone already, until a round
-    finds none. A key that refers to its own table, or a ring of them, ends like any other. Only ids are kept between rounds.
+    A table at a time, parents before children: the children of what went of it, by a join for each key, less what is gone already, until no
+    table has rows whose children are to be found. So without a ring of keys each key is followed once. A key that refers to its own table, or a ring of them, ends like any other. Only ids are kept between rounds.
+    Ids are joined, each being there once, and not semi-joined: Spark would move a semi-join below the columns that a table derives, and shuffle what they are made of.
     """
     missing = {t for k in keys for t in (k.child, k.parent)} - set(tables)
     keys = tuple(k for k in keys if not {k.child, k.parent} & missing)
+    rank = dict.fromkeys(tables, 0)
+    for _ in tables:
+        for k in keys:
+            if k.on_delete == "CASCADE" and k.child != k.parent:
+                rank[k.child] = min(max(rank[k.child], rank[k.parent] + 1), len(tables))
     gone: dict[str, DataFrame] = {}
     fresh = {t: cut(tables[t].select("id").join(ids.select("id"), "id", "left_semi").distinct()) for t, ids in start.items()}
     while fresh:
-        for t, ids in fresh.items():
-            gone[t] = gone[t].unionByName(ids) if t in gone else ids
+        parent = min(fresh, key=rank.__getitem__)
+        parents = fresh.pop(parent)
+        gone[parent] = gone[parent].unionByName(parents) if parent in gone else parents
         found: dict[str, DataFrame] = {}
         for k in keys:
-            if k.on_delete == "CASCADE" and k.parent in fresh:
-                parents = fresh[k.parent].select(F.col("id").alias(k.column))
-                ids = tables[k.child].select("id", k.column).join(parents, k.column, "left_semi").select("id")
+            if k.on_delete == "CASCADE" and k.parent == parent:
+                ids = tables[k.child].select("id", k.column).join(parents.select(F.col("id").alias(k.column)), k.column).select("id")
                 found[k.child] = found[k.child].unionByName(ids) if k.child in found else ids
-        fresh = {}
         for t, ids in found.items():
-            new = cut((ids.join(gone[t], "id", "left_anti") if t in gone else ids).distinct())
+            for known in (gone.get(t), fresh.get(t)):
+                ids = ids if known is None else ids.join(known, "id", "left_anti")
+            new = cut(ids.distinct())
             if not new.isEmpty():
-                fresh[t] = new
-    left = {t: df.join(gone[t], "id", "left_anti").select(*df.columns) if t in gone else df for t, df in tables.items()}
+                fresh[t] = fresh[t].unionByName(new) if t in fresh else new
+    left = {t: df.join(gone[t].withColumn("_gone", F.lit(True)), "id", "left").where("_gone is null").select(*df.columns) if t in gone else df for t, df in tables.items()}
     for k in keys:
         if k.on_delete == "SET NULL" and k.parent in gone:
             lost = gone[k.parent].select(F.col("id").alias("_lost"), F.lit(True).alias("_hit"))

@@ -198,8 +198,8 @@ register(
 
 
 def _deletion(s: SparkSession, d: str) -> tuple[D.Deletion, DataFrame]:
-    tables = {"cases": cases(s, d), "sales_orders": sales_orders(s, d), "documents": doc_files(s, d), "audit_logs": audit_logs(s, d)}
-    return D.delete(tables, {"cases": tables["cases"].where("id % 10 = 0"), "sales_orders": tables["sales_orders"].where("id % 7 = 0")}), tables["documents"]
+    tables = {"cases": cases(s, d), "sales_orders": sales_orders(s, d), "documents": doc_keys(s, d), "audit_logs": audit_logs(s, d)}
+    return D.delete(tables, {"cases": tables["cases"].where("id % 10 = 0"), "sales_orders": tables["sales_orders"].where("id % 7 = 0")}), doc_files(s, d)
 
 
 def _left(s: SparkSession, d: str) -> DataFrame:

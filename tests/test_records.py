@@ -11,7 +11,7 @@ from docketry.operators import cascade as D
 from docketry.operators import commands as C
 from docketry.plans.records import Records
 from docketry.sources.store import Folder, StoredTable
-from docketry.sources.tables import CASES, DOC_FILES, SALES_ORDERS
+from docketry.sources.tables import CASES, DOC_FILES, SALES_ORDERS, cases, doc_keys, sales_orders
 
 ddl = lambda x: x.replace("?", "")
 at = lambda day: F.lit(f"2026-02-{day:02d} 00:00:00").cast("timestamp_ntz")
@@ -168,3 +168,12 @@ def test_patches_shown_one_by_one(spark):
     cases = spark.createDataFrame([(1, "A", "HARDWARE", "OPEN", None)], "id long, customer_name string, case_type string, status string, notes string")
     patches = spark.createDataFrame([(1, 1, ["status"], None, None, "CLOSED", None), (2, 1, ["notes"], None, None, None, "x"), (3, 1, ["status"], None, None, None, None)], "seq long, id long, set array<string>, customer_name string, case_type string, status string, notes string")
     assert rows(C.update_cases(cases, patches), "seq", "new_status", "new_notes") == [(1, "CLOSED", None), (2, "CLOSED", "x"), (3, None, "x")]
+
+
+def test_deletions_shuffle_ids_and_not_what_they_are_made_of(spark, sf_dir):
+    tables = {"cases": cases(spark, sf_dir), "sales_orders": sales_orders(spark, sf_dir), "documents": doc_keys(spark, sf_dir)}
+    d = D.delete(tables, {"cases": tables["cases"].where("id % 10 = 0")})
+    plan = d.left["documents"].select("id", "case_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "sha2" in line]
+    gone = "case_id % 10 = 0"
+    assert d.gone["documents"].count() == tables["documents"].where(gone).count() and d.left["documents"].where(gone).count() == 0

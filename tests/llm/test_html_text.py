@@ -78,6 +78,33 @@ def test_what_the_partner_decides(spark):
         assert got[i] == ("\n\n".join((story(i)[0].strip(), f"Seen {i} times")) if i % 3 else alone[i])
 
 
+def test_differencing_finds_the_element(spark, sf_dir):
+    """Every page of the tables has the article as the element that holds what differs, found without its name."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id as id", "'http://h/' || page_id as url", "page_id as t", "html")
+    parsed = H.parse(pages).cache()
+    holding = H.differences(parsed)[1]
+    rows = parsed.join(holding, "host").withColumn("spans", H.holding_spans()).select("inside", "spans").collect()
+    assert len(rows) == parsed.count() and all(x.inside == list(range(x.spans[0].firsts, x.spans[0].afters)) for x in rows)
+
+
+def test_teasers_are_not_the_story(spark):
+    """Pages with article elements for teasers and the story elsewhere: what differs between pages decides, and markup alone where there is no other page."""
+    story = lambda i: [f"Paragraph {k} of story {i} told at length. " * 3 for k in range(i, i + 4)]
+    html_of = lambda i: f"<body><div class=top><p>The paper<p>All sections</div><article><h2>Teaser</h2><p>See number {i % 3}.</article><div class=story>{''.join(f'<p>{p}' for p in [*story(i), 'A sentence of many stories.'])}</div></body>"
+    rows = [(i, f"http://h.example/{i:02}", html_of(i)) for i in range(12)] + [(99, "http://alone.example/", html_of(99))]
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i].split("\n\n")[:4] == [p.strip() for p in story(i)] and "Teaser" not in got[i] for i in range(12)) and got[99] == "Teaser\n\nSee number 0."
+
+
+def test_the_element_loses_no_line(spark):
+    """A page without an article element: lines around the element go, a sentence that near articles share stays in it."""
+    story = lambda i: [f"Paragraph {k} of story {i} told at length." for k in range(14)]
+    html_of = lambda i: f"<body><div class=top><p>The paper<p>All sections</div><div class=story>{''.join(f'<p>{p}' for p in [*story(i), 'Read on.'])}</div></body>"
+    rows = [(i, f"http://h.example/{i:02}", html_of(i)) for i in range(600)]
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: "\n\n".join([*story(i), "Read on."]) for i in range(600)}
+
+
 def test_classes_and_articles():
     assert H.main_text('<article><p class="notice-period">a</p><div class="media-widget"><p>b</p></div><div class="share-buttons">c</div><p class="ad">d</p></article>') == "a\n\nb"
     assert H.main_text("<main><h1>Title</h1><article><p>One</p></article><div class=related>x</div></main>") == "Title\n\nOne"

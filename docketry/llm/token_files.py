@@ -40,13 +40,14 @@ class Encoded(dict):
 
     The tokenizer drops white space and never merges across it. A word that is not known is put together
     from its pre-tokens, which have a cache of their own; only what that lacks goes to the library.
-    A full cache becomes the older generation, from which words in use come back.
+    A full cache becomes the older generation, from which words in use come back. Nothing in it depends on the texts it has seen, so `encoder` keeps it for all tasks of a worker.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 250_000):
         super().__init__()
         self.library, self.room, self.older, self.parts = tokenizer(path), room, {}, {}
-        self.to_units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        to_units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.units = {c: to_units(chr(c))[0][0] for c in range(256)}  # a piece is Latin-1
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.older.get(word)
@@ -67,7 +68,7 @@ class Encoded(dict):
         return found
 
     def part(self, piece: str) -> bytes:
-        units = piece if piece.isascii() and piece.isprintable() else self.to_units(piece)[0][0]
+        units = piece if piece.isascii() and piece.isprintable() else piece.translate(self.units)
         found = packed([t.id for t in self.library.model.tokenize(units)])
         if len(piece) <= CACHED_BYTES:
             if len(self.parts) >= self.room:
@@ -84,7 +85,12 @@ def _simple(text: str) -> bool:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return SPECIAL.search(text) is None
+    return "<|" not in text or SPECIAL.search(text) is None
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoded:
+    return Encoded(path)
 
 
 def write_token_files(
@@ -102,7 +108,7 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, at = Encoded(tokenizer_path), packed([end_id]), 0
+        cache, end, at = encoder(tokenizer_path), packed([end_id]), 0
         for batch in batches:
             encoded = [cache.encode(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in encoded], np.int64)

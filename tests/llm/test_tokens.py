@@ -27,6 +27,24 @@ def test_ids_match_the_library(text):
     assert T.Encoded(WORDS, 20).encode(text) == T.packed(T.tokenizer(WORDS).encode(text, add_special_tokens=False).ids)
 
 
+def test_a_cache_serves_all_tasks_of_a_worker(spark, sf_dir, tmp_path):
+    """The words that a task has encoded are known to later tasks in the same worker."""
+    T.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{tmp_path}/t", WORDS, 1)
+
+    def known(batches):
+        for _ in batches:
+            yield T.pa.RecordBatch.from_pydict({"n": [len(T.encoder(WORDS))]})
+
+    assert max(r.n for r in spark.range(0, 4, 1, 4).mapInArrow(known, "n long").collect()) > 1000
+
+
+def test_units_of_latin_1():
+    """The table of units agrees with the library's byte level for every character, also in words."""
+    units = T.Encoded(WORDS).units
+    to_units = T.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    assert all(f"a{chr(c)}é".translate(units) == to_units(f"a{chr(c)}é")[0][0] for c in range(256))
+
+
 def test_counts_query(spark, sf_dir):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for x in C.op4_token_counts(spark, sf_dir).collect():

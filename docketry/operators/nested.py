@@ -11,6 +11,8 @@ FILE = ("id", "case_id", "sales_order_id", "document_type", "filename", "origina
 CASE = ("id", "case_id", "opportunity_id", "customer_name", "case_type", "status", "notes", "created_at", "updated_at")
 ORDER = ("id", "so_number", "so_month", "created_at", "updated_at")
 TIMES = ("created_at", "updated_at", "uploaded_at")
+#: What a file has of its own, once its case and order are known.
+OWN = tuple(c for c in FILE if c not in ("case_id", "sales_order_id", "storage_path"))
 
 
 def _shown(columns: tuple[str, ...]) -> list[Column]:
@@ -18,6 +20,19 @@ def _shown(columns: tuple[str, ...]) -> list[Column]:
     return [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in TIMES else F.col(c) for c in columns]
 
 
+def _packed() -> Column:
+    """A file as it is shuffled: times as they are, and its path without the filename where it ends with that."""
+    ends = F.endswith("storage_path", F.col("filename"))
+    folder = F.expr("left(storage_path, length(storage_path) - length(filename))")
+    return F.struct(*OWN, F.coalesce(ends, F.lit(False)).alias("ends"), F.when(ends, folder).otherwise(F.col("storage_path")).alias("folder"))
+
+
+def _unpacked(file: Column) -> Column:
+    """The file of _packed, with the columns that the group around it has."""
+    known = {"case_id": F.col("_case"), "sales_order_id": F.col("_order"), "storage_path": F.when(file["ends"], F.concat(file["folder"], file["filename"])).otherwise(file["folder"])}
+    return F.struct(*[(F.date_format(file[c], "yyyy-MM-dd HH:mm:ss") if c in TIMES else known.get(c, file[c])).alias(c) for c in FILE])
+
+
 def _checklist(types: Column, listed: tuple[str, ...]) -> Column:
     return F.struct(*[F.array_contains(types, t).alias(t) for t in listed])
 
@@ -26,12 +41,12 @@ def case_documents(cases: DataFrame, orders: DataFrame, documents: DataFrame) ->
     """One row per case: its columns, customer_po (the customer PO of the least checksum, null without one) and sales_orders by month and number, each with document_count, checklist and documents by id.
 
     Rows of the three tables are dealt out by case once and then grouped twice, by order within the case, and by case: neither needs
-    another shuffle, and nothing is joined. An order's documents are those of its own case, as uploads see to. A case's entries meet in one row, as they do in the document.
+    another shuffle, and nothing is joined. Files are shuffled without what their group and their filename say again. An order's documents are those of its own case, as uploads see to. A case's entries meet in one row, as they do in the document.
     """
     none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
     case = cases.select(F.col("id").alias("_case"), F.struct(*_shown(CASE)).alias("case"))
     order = orders.select(F.col("case_id").alias("_case"), F.col("id").alias("_order"), F.struct(*_shown(ORDER)).alias("order"))
-    file = documents.select(F.col("case_id").alias("_case"), F.col("sales_order_id").alias("_order"), F.struct(*_shown(FILE)).alias("file"), F.when(F.col("document_type") == "CUSTOMER_PO", F.col("checksum")).alias("_po"))
+    file = documents.select(F.col("case_id").alias("_case"), F.col("sales_order_id").alias("_order"), _packed().alias("file"), F.when(F.col("document_type") == "CUSTOMER_PO", F.col("checksum")).alias("_po"))
     every = (
         case.select("_case", none(order, "_order").alias("_order"), "case", none(order, "order").alias("order"), none(file, "file").alias("file"), none(file, "_po").alias("_po"))
         .unionByName(order.select("_case", "_order", none(case, "case").alias("case"), "order", none(file, "file").alias("file"), none(file, "_po").alias("_po")))
@@ -40,6 +55,8 @@ def case_documents(cases: DataFrame, orders: DataFrame, documents: DataFrame) ->
     by_order = every.repartition("_case").groupBy("_case", "_order").agg(
         F.first("case", ignorenulls=True).alias("case"), F.first("order", ignorenulls=True).alias("order"), F.collect_list("file").alias("files"), F.min_by(F.when(F.col("_po").isNotNull(), F.struct("_po", "file")), "_po").alias("po")
     )
+    unpacked = F.when(F.col("po").isNotNull(), F.struct(F.col("po._po"), _unpacked(F.col("po.file")).alias("file")))
+    by_order = by_order.withColumns({"files": F.transform("files", _unpacked), "po": unpacked})
     files = F.array_sort("files", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     entry = F.struct("order.*", F.size("files").alias("document_count"), _checklist(F.col("files.document_type"), ORDER_TYPES).alias("checklist"), files.alias("documents"))
     keyed = F.when(F.col("order").isNotNull(), F.struct(F.col("order.so_month"), F.col("order.so_number"), entry.alias("entry")))

@@ -180,3 +180,18 @@ def test_uploads_are_judged_once_over_narrow_rows(spark, cases):
     judged = C.upload_documents(cases, orders, docs, spark.createDataFrame(rows, "seq long, case_id long, sales_order_id long, original_filename string, checksum string"))
     assert {r.seq: r.reject_reason for r in judged.collect()} == {1: "duplicate file", 2: None, 3: "duplicate file", 4: "not a PDF", 5: None, 6: "duplicate file", 7: "case not found"}
     assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_files_of_a_case_keep_their_columns(spark, sf_dir):
+    """Files are packed for the shuffle; paths that don't end with the filename, and nulls, come back as they were."""
+    from docketry.operators import nested as N
+    from docketry.sources.tables import cases, doc_files, sales_orders
+
+    files = doc_files(spark, sf_dir).limit(300).withColumns({
+        "storage_path": F.when(F.col("id") % 4 == 0, "elsewhere.pdf").when(F.col("id") % 4 == 1, None).otherwise(F.col("storage_path")), "filename": F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 5 == 1, None).otherwise(F.col("filename")),
+    }).cache()
+    cases_of, orders = cases(spark, sf_dir), sales_orders(spark, sf_dir)
+    assert not {"storage_path", "case_id", "sales_order_id"} & set(files.select(N._packed().alias("f")).select("f.*").columns)
+    nested = N.case_documents(cases_of, orders, files).select(F.explode("sales_orders").alias("o")).select(F.explode("o.documents").alias("f")).select("f.*")
+    want = files.where("sales_order_id is not null").select(*N._shown(N.FILE))
+    assert sorted(map(tuple, nested.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)

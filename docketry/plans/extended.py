@@ -14,7 +14,7 @@ from docketry.operators.trigrams import TrigramIndex
 from docketry.plans.registry import listed, register
 from docketry.sources import clustered
 from docketry.sources.store import StoredTable, scratch
-from docketry.sources.tables import BASE, CASES, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, doc_keys, raw, sales_orders
+from docketry.sources.tables import BASE, CASES, DOCUMENT_TYPES, ORDER_TYPES, audit_logs, cases, doc_files, doc_keys, doc_lines, documents_of, raw, sales_orders
 
 YEAR, AT = 2026, "2026-02-01 00:00:00"
 _now = lambda: F.lit(AT).cast("timestamp_ntz")
@@ -273,16 +273,21 @@ def _deep_page(s: SparkSession, d: str) -> DataFrame:
 register("audit_deep_page", f"SELECT id, case_id, action, actor, {_TEXT_SQL('created_at')} AS created_at FROM (SELECT * FROM audit_logs ORDER BY audit_logs.created_at DESC, id DESC LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM audit_logs))", _deep_page)
 
 
-def _clustered(s: SparkSession, table: DataFrame, key: str) -> str:
+def _clustered(s: SparkSession, table: DataFrame, key: str, **how) -> str:
     path = scratch(s, "clustered")
-    clustered.write(table, path, key, ("id",))
+    clustered.write(table, path, key, ("id",), **how)
     return path
 
 
+def _clustered_documents(s: SparkSession, d: str) -> str:
+    """Every document, whole, by its order. Lines are dealt out, and made into documents where they are written."""
+    return _clustered(s, doc_lines(s, d), "sales_order_id", made=documents_of, rows=raw(s, d, "lineitem").count())
+
+
 register("lookup_case_by_key", f"SELECT {', '.join(_CASE)} FROM cases WHERE case_id = 'CASE-2026-0042'", lambda s, d: clustered.find(s, _clustered(s, cases(s, d), "case_id"), "case_id", "CASE-2026-0042").select(*_CASE))
 register("lookup_case_by_id", f"SELECT {', '.join(_CASE)} FROM cases WHERE id = 42", lambda s, d: clustered.find(s, _clustered(s, cases(s, d), "case_id"), "id", 42).select(*_CASE))
 register("lookup_so_by_number", f"SELECT {', '.join(_SO)} FROM sales_orders WHERE so_number = '10TM0000000077'", lambda s, d: clustered.find(s, _clustered(s, sales_orders(s, d), "so_number"), "so_number", "10TM0000000077").select(*_SO))
 register(
     "lookup_docs_of_orders", "SELECT id, sales_order_id, document_type, checksum FROM doc_files WHERE sales_order_id IN (1, 77, 1234)",
-    lambda s, d: clustered.find_many(s, _clustered(s, doc_files(s, d), "sales_order_id"), "sales_order_id", [1, 77, 1234]).select("id", "sales_order_id", "document_type", "checksum"),
+    lambda s, d: clustered.find_many(s, _clustered_documents(s, d), "sales_order_id", [1, 77, 1234]).select("id", "sales_order_id", "document_type", "checksum"),
 )

@@ -25,6 +25,8 @@ DOC_FILES = (
 AUDIT_LOGS = "id long, case_id long?, document_id long?, sales_order_id long?, action string, actor string, details string?, created_at timestamp_ntz?"
 #: Where the derived documents are filed.
 BASE = "/data/cases"
+#: Columns of a line that its document is made of.
+LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def schema(columns: str) -> T.StructType:
@@ -67,38 +69,53 @@ def _checksum() -> Column:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_files(spark, raw(spark, sf_dir, "lineitem"), sf_dir, F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")))
+    return documents_of(_owned(spark, raw(spark, sf_dir, "lineitem"), sf_dir))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are filed under an order. Their order is a plain column, so Spark sees that they lie by it and joins orders without dealing the documents out again."""
-    return _doc_files(spark, raw(spark, sf_dir, "lineitem").where("l_linenumber <> 7"), sf_dir, F.col("l_orderkey"))
+    return documents_of(_owned(spark, raw(spark, sf_dir, "lineitem").where("l_linenumber <> 7"), sf_dir), F.col("l_orderkey"))
 
 
 def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, case_id and sales_order_id of every document. Ids are made before the join, so 8 bytes of a document are shuffled and not the ten columns that its checksum is made of."""
-    lines = raw(spark, sf_dir, "lineitem").select(file_id(_checksum()).alias("id"), "l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")).alias("sales_order_id"))
+    lines = raw(spark, sf_dir, "lineitem").select(file_id(_checksum()).alias("id"), "l_orderkey", _filed().alias("sales_order_id"))
     owners = raw(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"))
     return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "case_id", "sales_order_id")
 
 
-def _doc_files(spark: SparkSession, lines: DataFrame, sf_dir: str, filed: Column) -> DataFrame:
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document is made of, with its id and order to deal it out by: less than half the bytes of the documents that `documents_of` makes of them."""
+    lines = _owned(spark, raw(spark, sf_dir, "lineitem"), sf_dir)
+    return lines.select(*LINE, "o_custkey", "o_orderdate", file_id(_checksum()).alias("id"), _filed().alias("sales_order_id"))
+
+
+def documents_of(lines: DataFrame, filed: Column | None = None) -> DataFrame:
+    """The documents that lines and their orders make, each out of its own row."""
     line = F.col("l_linenumber")
     kind = F.when(line == 2, "VENDOR_INVOICE").when(line == 3, "VENDOR_DC").when(line == 4, "COMPANY_INVOICE").when(line == 5, "COMPANY_DC").when(line == 6, "POD").otherwise("CUSTOMER_PO")
-    owners = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     order, customer = F.col("l_orderkey"), F.col("o_custkey")
     case_key = F.concat(F.lit("CASE-2026-"), F.when(customer < 10000, F.lpad(customer.cast("string"), 4, "0")).otherwise(customer.cast("string")))
     number, month = F.concat(F.lit("10TM"), F.lpad(order.cast("string"), 10, "0")), F.substring(F.col("o_orderdate").cast("string"), 1, 7)
     name = F.concat(F.lower(kind), F.lit(" "), line.cast("string"), F.lit(".pdf"))
     stored = stored_filename(F.col("checksum"), name)
-    return joined.withColumn("checksum", _checksum()).select(
-        file_id(F.col("checksum")).alias("id"), customer.alias("case_id"), filed.alias("sales_order_id"), kind.alias("document_type"), stored.alias("filename"), name.alias("original_filename"),
+    return lines.withColumn("checksum", _checksum()).select(
+        file_id(F.col("checksum")).alias("id"), customer.alias("case_id"), (_filed() if filed is None else filed).alias("sales_order_id"), kind.alias("document_type"), stored.alias("filename"), name.alias("original_filename"),
         F.when(line % 2 == 0, F.concat(F.lit("REF-"), F.col("l_partkey").cast("string"))).alias("reference_number"), storage_path(F.lit(BASE), case_key, month, number, kind, stored).alias("storage_path"),
         "checksum", F.floor("l_extendedprice").cast("int").alias("file_size"), ((line % 4) * 90).cast("int").alias("rotation"), F.col("l_shipdate").alias("uploaded_at"), F.lit("Anonymous").alias("uploaded_by"),
     )
 
 
+def _filed() -> Column:
+    """The order that a line's document is filed under, if it is under one."""
+    return F.when(F.col("l_linenumber") != 7, F.col("l_orderkey"))
+
+
+def _owned(spark: SparkSession, lines: DataFrame, sf_dir: str) -> DataFrame:
+    owners = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") + 7).alias("document_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 1000).alias("sales_order_id"), F.concat(F.lit("DOCUMENT_"), F.upper("event_type")).alias("action"),
